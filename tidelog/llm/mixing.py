@@ -17,7 +17,8 @@ from .scratch import cut, take
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
-LEVEL_BITS = 12
+HASH_BITS = 62
+LEVEL_BITS = 6
 GREEDY_ROWS = 20_000
 MAX_PATTERNS = 100_000
 
@@ -94,26 +95,22 @@ def _near_table(df: DataFrame, other: DataFrame, on: list[str], rows: int) -> Da
 
 
 def _extra(rows: DataFrame, want: DataFrame, n: int) -> DataFrame:
-    """For each pattern its cut: rows (p, h, size) below `low` are taken; those in [low, high] are chosen one by one.
+    """For each pattern the hash range [low, high) in which its wanted words are reached; rows below it are all taken.
 
-    Radix descent: each level sums sizes for 2**LEVEL_BITS ranges of the hash and enters the range in which the wanted
-    words are reached, until a range holds GREEDY_ROWS rows at most; every level is an aggregation over all rows.
+    Radix descent: each level sums sizes for 2**LEVEL_BITS parts of the range and enters the part in which the wanted
+    words are reached, until it holds GREEDY_ROWS rows at most; every level is an aggregation over all rows in the range.
     """
-    at, shift, spark = want.withColumn("low", F.lit(0).cast("long")), 52, rows.sparkSession
-    while True:
-        step = 1 << shift
-        inside = _near_table(rows, at, ["p"], n)
-        if shift < 52:
-            inside = inside.where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(step << LEVEL_BITS)))
+    at, shift = want.withColumn("low", F.lit(0).cast("long")), HASH_BITS
+    most = want.agg(F.max("n")).first()[0] or 0
+    while most > GREEDY_ROWS and shift:
+        width, shift = 1 << shift, max(0, shift - LEVEL_BITS)
+        inside = _near_table(rows, at.drop("n"), ["p"], n).where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(width)))
         counts = inside.groupBy("p", "want", "low", F.shiftright(F.col("h") - F.col("low"), shift).alias("b")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         hit = counts.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).where((F.col("before") <= F.col("want")) & (F.col("before") + F.col("s") > F.col("want")))
-        at = cut(hit.select("p", (F.col("want") - F.col("before")).alias("want"), (F.col("low") + F.col("b") * F.lit(step)).alias("low"), "n"), "mix-level")
-        if not shift or (at.agg(F.max("n")).first()[0] or 0) <= GREEDY_ROWS:
-            return at.withColumn("high", F.col("low") + F.lit(step)).drop("n")
-        at, shift = at.drop("n"), max(0, shift - LEVEL_BITS)
-        if shift < 4:
-            shift = 0
+        at = cut(hit.select("p", (F.col("want") - F.col("before")).alias("want"), (F.col("low") + F.col("b") * F.lit(1 << shift)).alias("low"), "n"), "mix-level")
+        most = at.agg(F.max("n")).first()[0] or 0
+    return at.select("p", "want", "low", (F.col("low") + F.lit(1 << shift)).alias("high"))
 
 
 def _fill(g: pd.DataFrame) -> pd.DataFrame:
@@ -142,29 +139,29 @@ def mix(docs: DataFrame, quotas, *, size: Column | None = None, key: str = "doc_
     rows = take(docs, id=key, text=text, src=sources, **{f"keep_{i}": c for i, c in enumerate(keep)})
     members = F.array_sort(F.array_distinct(F.transform("src", lambda x: F.struct(x.isNull().alias("n"), x.alias("s"))))) if dict(rows.dtypes)["src"].startswith("array") else F.array(F.struct(F.col("src").isNull().alias("n"), F.col("src").alias("s")))
     words = F.coalesce(size if size is not None else F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = rows.select("id", *[f"keep_{i}" for i in range(len(keep))], members.alias("m"), words.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text"), 1).alias("h"))
+    rows = rows.select("id", *[f"keep_{i}" for i in range(len(keep))], members.alias("m"), words.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text"), 64 - HASH_BITS).alias("h"))
     rows = cut(rows.withColumn("k", F.monotonically_increasing_id()), "mix")
-    seen = rows.groupBy("m").agg(F.sum("size").alias("s")).limit(MAX_PATTERNS + 1).collect()
+    seen = rows.groupBy("m").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(seen) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    seen = sorted(((tuple((x["n"], x["s"]) for x in r["m"]), int(r["s"])) for r in seen), key=str)
+    seen = sorted(((tuple((x["n"], x["s"]) for x in r["m"]), int(r["s"]), r["n"]) for r in seen), key=str)
     totals: dict = {}
-    for m, s in seen:
+    for m, s, _ in seen:
         for x in m:
             totals[x] = totals.get(x, 0) + s
     targets = quotas({x[1]: totals[x] for x in sorted(totals, key=lambda x: (x[0], (x[1] or "").encode()))})
-    routed = flow([(frozenset(m), s) for m, s in seen], {x: round(targets[x[1]]) for x in totals})
+    routed = flow([(frozenset(m), s) for m, s, _ in seen], {x: round(targets[x[1]]) for x in totals})
     out: dict[int, int] = {}
     for (i, _), f in routed.items():
         out[i] = out.get(i, 0) + f
     spark, kind = rows.sparkSession, rows.schema["m"].dataType.simpleString()
-    plan = [(i, [list(x) for x in m], s, out.get(i, 0) // s if s else 1, out.get(i, 0) % s if s else 0) for i, (m, s) in enumerate(seen)]
-    plan = spark.createDataFrame(plan, f"p long, m {kind}, s long, base long, want long").select("p", "m", "base", "want")
-    rows = _near_table(rows, plan, ["m"], len(seen))
-    want = plan.where("want > 0").select("p", "want")
+    plan = [(i, [list(x) for x in m], s, out.get(i, 0) // s if s else 1, out.get(i, 0) % s if s else 0, n) for i, (m, s, n) in enumerate(seen)]
+    plan = spark.createDataFrame(plan, f"p long, m {kind}, s long, base long, want long, n long").drop("s")
+    rows = _near_table(rows, plan.drop("n"), ["m"], len(seen))
+    want = plan.where("want > 0").select("p", "want", "n")
     edge = _extra(rows.select("p", "h", "size"), want, len(seen))
     near = _near_table(rows.select("p", "h", "size", "k"), edge, ["p"], len(seen)).where("h >= low and h < high and size > 0")
-    chosen = near.select("p", "h", "size", "k", F.col("want")).groupBy("p").applyInPandas(lambda g: _fill(g), "k long").withColumn("one", F.lit(1))
+    chosen = near.select("p", "h", "size", "k", F.col("want")).groupBy("p").applyInPandas(_fill, "k long").withColumn("one", F.lit(1))
     limits = plan.select("p").join(edge.select("p", "low"), "p", "left")
     whole = _near_table(rows, limits, ["p"], len(seen)).join(chosen, "k", "left")
     more = F.when(F.col("size") > 0, F.coalesce((F.col("h") < F.col("low")).cast("int"), F.lit(0)) + F.coalesce("one", F.lit(0))).otherwise(0)

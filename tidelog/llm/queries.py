@@ -33,10 +33,17 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_mix": op4_mix,
     "op6_decontaminate": op6_decontaminate,
     "op7_shard": op7_shard,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}

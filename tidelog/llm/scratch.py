@@ -57,7 +57,7 @@ def forget(spark: SparkSession, since: int = 0, keep: int | None = None) -> None
 
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; it steers the number of buckets only, never the result."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def buckets(df: DataFrame, bytes_each: int) -> int:

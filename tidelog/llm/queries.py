@@ -39,11 +39,25 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import report
+
+    return report(table(spark, sf_dir, "pages"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_mix": op4_mix,
     "op6_decontaminate": op6_decontaminate,
     "op7_shard": op7_shard,
+    "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}

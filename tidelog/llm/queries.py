@@ -21,6 +21,12 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddup import link
+
+    return link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import report
 
@@ -54,6 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_mix": op4_mix,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_shard": op7_shard,
     "op8_url_filter": op8_url_filter,

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import report_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import report
 
@@ -58,6 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
     "op4_mix": op4_mix,
     "op5_embedding_dedup": op5_embedding_dedup,
@@ -67,4 +76,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_license_scan": report_sql()}

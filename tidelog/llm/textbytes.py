@@ -103,3 +103,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = out * BASE + h[i : len(h) - n + 1 + i]
     return mix(out)
+
+
+def runs(*cols: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of rows with equal values."""
+    n = len(cols[0])
+    if not n:
+        return []
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    at = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+    return list(zip(at[:-1], at[1:], strict=True))

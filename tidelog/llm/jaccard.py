@@ -3,7 +3,8 @@
 1. Every text becomes its set of shingle hashes; equal sets are one class. Of each class the hashes in the lowest SHARE of
    the hash space are dealt by hash. A class with so many hashes that no other class has that a similarity of `percent` is
    out of reach leaves here; that proof needs no candidate pairs.
-2. The other classes are ordered by hash, cut to their prefixes, and classes with equal prefix and size form one group.
+2. The other classes' hashes are put in one order, rare ones first, and cut to their prefixes; classes with equal prefix
+   and size form one group.
    Groups that share a prefix hash and pass the size and position filters are candidates. They are verified in two
    rounds: first each group against the first group of each hash (stars), then only pairs still in different components.
 3. Verified links are joined to components; nothing is ever expanded inside a component that is already connected.
@@ -11,6 +12,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import buckets, cut, take
-from .textbytes import buffers, gram_hashes, lower_table, mix, pieces, span_hashes, words
+from .textbytes import buffers, gram_hashes, lower_table, mix, pieces, runs, span_hashes, words
 
 WORDS = 5
 PERCENT = 80
@@ -89,9 +92,8 @@ def low_hashes(n_buckets: int, k: int, share: float):
                 to = (hv // U64(width)).astype(np.int64)
                 order = np.lexsort((hd, to))
                 hv, hd, to = hv[order], hd[order], to[order]
-                cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
                 rows = [[], [], [], []]
-                for a, z in zip(cuts, [*cuts[1:], len(to)], strict=True):
+                for a, z in runs(to):
                     d, c = np.unique(hd[a:z], return_counts=True)
                     for r, x in zip(rows, (int(to[a]), fp[d].tobytes(), c.astype(np.uint32).tobytes(), hv[a:z].tobytes()), strict=True):
                         r.append(x)
@@ -120,8 +122,11 @@ def batch(kind: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=LOW)
 
 
-def shared_counts(t: pa.Table) -> pa.Table:
-    """For a bucket: how many of its hashes each class shares with another class (classes with none are left out)."""
+HELD = np.dtype([("h", U64), ("df", np.uint32)])
+
+
+def shared_hashes(t: pa.Table) -> pa.Table:
+    """For a bucket: the hashes that each class shares with another one, with their numbers of classes (classes with none are left out)."""
     fps = np.concatenate([np.repeat(np.frombuffer(f, np.int64), np.frombuffer(c, np.uint32)) for f, c in zip(t["fps"].to_pylist(), t["counts"].to_pylist(), strict=True)])
     h = np.concatenate([np.frombuffer(x, U64) for x in t["hashes"].to_pylist()])
     order = np.lexsort((fps, h))
@@ -129,11 +134,15 @@ def shared_counts(t: pa.Table) -> pa.Table:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (fps[1:] != fps[:-1])
     h, fps = h[new], fps[new]
-    same = np.zeros(len(h), bool)
-    same[1:] = h[1:] == h[:-1]
-    same[:-1] |= same[1:]
-    u, c = np.unique(fps[same], return_counts=True)
-    return pa.table({"fp": u, "c": c.astype(np.int64)})
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    df = np.repeat(np.diff(np.append(at, len(h))), np.diff(np.append(at, len(h))))
+    same = df > 1
+    held = np.zeros(int(same.sum()), HELD)
+    held["h"], held["df"], fps = h[same], df[same], fps[same]
+    order = np.argsort(fps, kind="stable")
+    held, fps = held[order], fps[order]
+    own = runs(fps)
+    return pa.table({"fp": pa.array([int(fps[a]) for a, _ in own], pa.int64()), "c": pa.array([z - a for a, z in own], pa.int64()), "shared": pa.array([held[a:z].tobytes() for a, z in own], pa.binary())})
 
 
 def set_rows(k: int):
@@ -153,31 +162,49 @@ def prefix_length(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def postings(n_buckets: int, percent: int):
-    """mapInArrow over (fp, n, hashes, grp, comp): for each bucket one row of packed (hash, class, group, component, n, position)."""
+def prefix_rows(percent: int, share: float):
+    """mapInArrow over (fp, n, hashes, lists of shared hashes): fp, n, grp, prefix.
+
+    The order of all hashes: those of the lowest part of the hash space by the number of classes that have them, then by
+    value; after them all others by value. grp stands for the size and the whole prefix.
+    """
+    bound = U64(int(share * (1 << 64)))
+
+    def run(batches):
+        for b in batches:
+            out: list[bytes] = []
+            n = b.column(1).to_numpy()
+            for raw, lists, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), prefix_length(n, percent), strict=True):
+                v = np.frombuffer(raw, U64)
+                df = np.ones(len(v), np.int64)
+                held = np.concatenate([np.frombuffer(x, HELD) for x in lists or []] or [np.zeros(0, HELD)])
+                df[np.searchsorted(v, held["h"])] = held["df"]
+                df[v >= bound] = 1 << 40
+                out.append(v[np.lexsort((v, df))[: int(p)]].tobytes())
+            whole = [int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=int(k).to_bytes(8, "little")).digest(), "little", signed=True) for k, x in zip(n, out, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.int64()), pa.array(out, pa.binary())], names=["fp", "n", "grp", "prefix"])
+
+    return run
+
+
+def postings(n_buckets: int):
+    """mapInArrow over (fp, n, grp, prefix, comp): for each bucket one row of packed postings."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4)]
-            raw = b.column(2).to_pylist()
-            p = prefix_length(cols[1], percent)
+            p = np.array([len(x) // 8 for x in b.column(3).to_pylist()])
             parts = np.zeros(int(p.sum()), POSTING)
-            at = 0
-            for i, x in enumerate(raw):
-                q = int(p[i])
-                row = parts[at : at + q]
-                row["h"] = np.frombuffer(x, U64, q)
-                row["fp"], row["n"], row["g"], row["c"] = cols[0][i], cols[1][i], cols[2][i], cols[3][i]
-                row["i"] = np.arange(q)
-                at += q
+            parts["h"] = np.frombuffer(b"".join(b.column(3).to_pylist()), U64)
+            for field, i in (("fp", 0), ("n", 1), ("g", 2), ("c", 4)):
+                parts[field] = np.repeat(b.column(i).to_numpy(), p)
+            parts["i"] = np.arange(len(parts)) - np.repeat(np.cumsum(p) - p, p)
             to = (mix(parts["h"]) % U64(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             parts, to = parts[order], to[order]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            ends = [*cuts[1:], len(to)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int32)), pa.array([parts[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "rows"])
+            own = runs(to)
+            yield pa.RecordBatch.from_arrays([pa.array(to[[a for a, _ in own]].astype(np.int32)), pa.array([parts[a:z].tobytes() for a, z in own], pa.binary())], names=["bucket", "rows"])
 
     return run
 
@@ -231,27 +258,32 @@ def crossing(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         x = _sorted(t)
-        of_hash, of_group = _starts(x["h"]), _starts(x["h"], x["g"])
-        lo, hi, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        of_hash = _starts(x["h"])
         low, high = np.minimum.reduceat(x["c"], of_hash[:-1]), np.maximum.reduceat(x["c"], of_hash[:-1])
-        for k in np.flatnonzero(low != high):
-            groups = of_group[np.searchsorted(of_group, of_hash[k]) : np.searchsorted(of_group, of_hash[k + 1]) + 1]
-            head = x[groups[:-1]]
-            for i in range(len(head)):
-                z = int(np.searchsorted(head["n"], int(head["n"][i]) * 100 // percent, "right"))
-                ok = np.flatnonzero(_fits(np.broadcast_to(head[i], z - i), head[i:z], percent)) + i if z > i else np.zeros(0, int)
-                if i not in ok:
-                    ok = np.append(ok, i)
-                rest = np.concatenate([x[groups[j] : groups[j + 1]] for j in ok])
-                for one in x[groups[i] : groups[i + 1]]:
-                    other = rest["fp"][rest["c"] != one["c"]]
-                    lo.append(np.full(len(other), one["fp"]))
-                    hi.append(other)
-                    held += len(other)
-            if held > 4_000_000:  # repeated pairs go before memory grows
-                p = _pairs(np.concatenate(lo), np.concatenate(hi))
-                lo, hi, held = [p["a"].to_numpy()], [p["b"].to_numpy()], 0
-        return _pairs(np.concatenate(lo), np.concatenate(hi))
+        x = x[np.repeat(low != high, np.diff(of_hash))]
+        if not len(x):
+            return _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        start = _starts(x["h"], x["g"])
+        start, size, head = start[:-1], np.diff(start), x[start[:-1]]
+        held = [np.zeros((0, 2), np.int64)]
+        at, step = np.arange(len(head)), 0  # each group with itself, then with the next one of its hash, and so on
+        while len(at):
+            for part in np.array_split(at, max(1, int((size[at] * size[at + step]).sum()) // 2_000_000)):
+                own = part if not step else part[_fits(head[part], head[part + step], percent)]
+                n = size[own] * size[own + step]
+                rep = np.repeat(np.arange(len(own)), n)
+                turn = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                width = size[own + step][rep]
+                a, b = x[start[own][rep] + turn // np.maximum(width, 1)], x[start[own + step][rep] + turn % np.maximum(width, 1)]
+                other = a["c"] != b["c"]
+                held.append(np.stack([np.minimum(a["fp"], b["fp"]), np.maximum(a["fp"], b["fp"])], 1)[other])
+            if sum(map(len, held)) > 2_000_000:  # repeated pairs go before memory grows
+                held = [np.unique(np.concatenate(held), axis=0)]
+            step += 1
+            at = at[at + step < len(head)]
+            at = at[(head["h"][at] == head["h"][at + step]) & (100 * head["n"][at].astype(np.int64) >= percent * head["n"][at + step].astype(np.int64))]
+        u = np.concatenate(held)
+        return _pairs(u[:, 0], u[:, 1])
 
     return run
 
@@ -291,22 +323,26 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     n_buckets = buckets(rows, BUCKET_BYTES)
     low = cut(rows.mapInArrow(low_hashes(n_buckets, k, share), LOW_DDL), "low")
     texts = low.where("kind = 0").select("id", "key", "n", "low", "fp")
-    shared = low.where("kind = 1").select("bucket", "fps", "counts", "hashes").groupBy("bucket").applyInArrow(lambda t: shared_counts(t), "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c"))
+    shared = low.where("kind = 1").select("bucket", "fps", "counts", "hashes").groupBy("bucket").applyInArrow(lambda t: shared_hashes(t), "fp long, c long, shared binary")
+    shared = cut(shared, "shared")
+    count = shared.groupBy("fp").agg(F.sum("c").alias("c"))
     one = texts.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min(F.struct("key", "id")).alias("r"))
-    left = one.join(shared, "fp", "left").where(F.col("low") - F.coalesce("c", F.lit(0)) <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100)).select("fp", F.col("r.key").alias("key"), F.col("r.id").alias("id"))
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    left = cut(one.join(count, "fp", "left").where(F.col("low") - F.coalesce("c", F.lit(0)) <= F.col("n") - least).select("fp", F.col("r.key").alias("key"), F.col("r.id").alias("id")), "left")
     kept = rows.join(left, (rows["key"] == left["key"]) & rows["id"].eqNullSafe(left["id"])).select("fp", "text")
     sets = kept.mapInArrow(set_rows(k), "fp long, n long, hashes binary").where("n > 0")
-    # Rows that repeat a (key, id) repeat a class here; later steps ask for distinct classes.
+    # Rows that repeat a (key, id) repeat a class here.
     sets = cut(sets.dropDuplicates(["fp"]), "sets")
-    grouped = sets.withColumn("grp", F.xxhash64("n", F.substring("hashes", F.lit(1), (8 * (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)).cast("int"))))
-    n_postings = buckets(sets, BUCKET_BYTES)
+    lists = shared.join(left.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.collect_list("shared").alias("lists"))
+    prefixes = cut(sets.join(lists, "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary"), "prefixes")
+    n_postings = buckets(prefixes, BUCKET_BYTES)
 
     def candidates(frame: DataFrame, find) -> DataFrame:
-        return frame.select("fp", "n", "hashes", "grp", "comp").mapInArrow(postings(n_postings, percent), "bucket int, rows binary").groupBy("bucket").applyInArrow(lambda t: find(t), "a long, b long")
+        return frame.select("fp", "n", "grp", "prefix", "comp").mapInArrow(postings(n_postings), "bucket int, rows binary").groupBy("bucket").applyInArrow(lambda t: find(t), "a long, b long")
 
-    first = _links(candidates(grouped.withColumn("comp", F.lit(0).cast("long")), stars(percent)), sets, percent)
+    first = _links(candidates(prefixes.withColumn("comp", F.lit(0).cast("long")), stars(percent)), sets, percent)
     joined = components(first)
-    known = grouped.join(joined.select(F.col("vertex").alias("fp"), F.col("component")), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
+    known = prefixes.join(joined.select(F.col("vertex").alias("fp"), F.col("component")), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
     second = _links(candidates(known, crossing(percent)), sets, percent)
     roots = components(first.union(second))
     return texts.select("id", "n", "fp"), roots.select(F.col("vertex").alias("fp"), F.col("component").alias("root"))

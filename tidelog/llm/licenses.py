@@ -32,6 +32,8 @@ TEMPLATES = (
 )
 THRESHOLD = 0.7
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: Words that most English text has; they become anchors only if the other terms do not suffice.
+COMMON = frozenset("a an and any are as at be by can do for from have if in is it may not of on or so that the this to was were will with you your".split())
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = 4
@@ -52,7 +54,7 @@ class Vectors:
             norm = math.sqrt(sum(x * x for x in w.values()))
             self.rows += [(t, i, name, x / norm) for t, x in sorted(w.items())]
             rest = norm * norm
-            for t in sorted(w, key=lambda t: (-w[t], t)):
+            for t in sorted(w, key=lambda t: (t in COMMON, -w[t] * len(t), t)):  # rare terms first, so that few other units have one
                 if math.sqrt(max(rest, 0)) / norm < threshold:
                     break
                 anchors.add(t)

@@ -114,7 +114,7 @@ def _extra(rows: DataFrame, want: DataFrame, n: int) -> DataFrame:
 
 
 def _fill(g: pd.DataFrame) -> pd.DataFrame:
-    """In seeded order, each row that still fits; then the first of the others if that comes nearer."""
+    """In seeded order, each row that still fits; then the smallest of the others if that comes nearer."""
     g = g.sort_values(["h", "k"], kind="stable")
     left, taken, rest = int(g["want"].iloc[0]), [], []
     for k, size in zip(g["k"], g["size"], strict=True):
@@ -122,9 +122,9 @@ def _fill(g: pd.DataFrame) -> pd.DataFrame:
             left -= size
             taken.append(k)
         else:
-            rest.append((size, k))
+            rest.append((size, len(rest), k))
     if rest and min(rest)[0] - left < left:
-        taken.append(min(rest)[1])
+        taken.append(min(rest)[2])
     return pd.DataFrame({"k": taken}, dtype="int64")
 
 

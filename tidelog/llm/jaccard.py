@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import buckets, cut, take
+from .scratch import buckets, cut, small, take
 from .textbytes import buffers, gram_hashes, lower_table, mix, pieces, runs, span_hashes, words
 
 WORDS = 5
@@ -313,7 +313,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (id, n, fp) for each row of docs; links (fp, root) for each class with a link to another one.
+    """(rows, links): rows (id, key, n, fp) for each row of docs; links (fp, root) for each class with a link to another one.
 
     Rows of equal sets have equal fp (0: no words or null text; linked with nothing). Two classes have one root if a chain
     of pairs with 100 * intersection >= percent * union connects them; no partner or candidate is capped.
@@ -329,7 +329,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     one = texts.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min(F.struct("key", "id")).alias("r"))
     least = F.floor((F.col("n") * percent + 99) / 100)
     left = cut(one.join(count, "fp", "left").where(F.col("low") - F.coalesce("c", F.lit(0)) <= F.col("n") - least).select("fp", F.col("r.key").alias("key"), F.col("r.id").alias("id")), "left")
-    kept = rows.join(left, (rows["key"] == left["key"]) & rows["id"].eqNullSafe(left["id"])).select("fp", "text")
+    kept = rows.join(small(left), (rows["key"] == left["key"]) & rows["id"].eqNullSafe(left["id"])).select("fp", "text")
     sets = kept.mapInArrow(set_rows(k), "fp long, n long, hashes binary").where("n > 0")
     # Rows that repeat a (key, id) repeat a class here.
     sets = cut(sets.dropDuplicates(["fp"]), "sets")
@@ -345,7 +345,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     known = prefixes.join(joined.select(F.col("vertex").alias("fp"), F.col("component")), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
     second = _links(candidates(known, crossing(percent)), sets, percent)
     roots = components(first.union(second))
-    return texts.select("id", "n", "fp"), roots.select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
+    return texts.select("id", "key", "n", "fp"), roots.select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
 
 
 def report(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -363,8 +363,20 @@ def report(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with its own columns, without the rows whose component has a row with a smaller (key, text hash); rows without words stay."""
-    names = docs.columns
-    found = report(take(docs, doc_id=key, text=text), k, percent).where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return plain.join(found, plain[f"_c{names.index(key)}"] == found["doc_id"], "left_anti").toDF(*names)
+    """docs with its own columns and one row of each component: that with the smallest (id, text hash), null ids last.
+
+    Rows without words all stay; of rows that repeat an id and a text one stays.
+    """
+    names, plain = docs.columns, docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    rows, roots = classes(docs, key=key, text=text, k=k, percent=percent)
+    own = rows.where("fp != 0").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("me", F.struct(F.col("id").isNull().alias("none"), "id", F.col("key").alias("h")))
+    own = cut(own.groupBy("root", "me").agg(F.count(F.lit(1)).alias("times")), "members")
+    first = own.groupBy("root").agg(F.min("me").alias("first"))
+    gone = cut(own.join(first, "root").where("me != first").select("me.id", "me.h"), "gone")
+    at, words = F.col(f"_c{names.index(key)}"), F.xxhash64(f"_c{names.index(text)}")
+    left = plain.withColumn("_h", words).join(small(gone), (F.col("_h") == F.col("h")) & at.eqNullSafe(F.col("id")), "left_anti")
+    twice = cut(own.where("times > 1").select("me.id", "me.h"), "twice")
+    if twice.limit(1).count():
+        hit = (F.col("_h") == F.col("h")) & at.eqNullSafe(F.col("id"))
+        left = left.join(twice, hit, "left_anti").unionByName(left.join(twice, hit, "left_semi").dropDuplicates([f"_c{names.index(key)}", "_h"]))
+    return left.drop("_h").toDF(*names)

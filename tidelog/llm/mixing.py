@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, take
+from .scratch import cut, small, take
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, quotas, *, size: Column | None = None, key: str = "doc_
     near = _near_table(rows.select("p", "h", "size", "k"), edge, ["p"], len(seen)).where("h >= low and h < high and size > 0")
     chosen = near.select("p", "h", "size", "k", F.col("want")).groupBy("p").applyInPandas(_fill, "k long").withColumn("one", F.lit(1))
     limits = plan.select("p").join(edge.select("p", "low"), "p", "left")
-    whole = _near_table(rows, limits, ["p"], len(seen)).join(chosen, "k", "left")
+    whole = _near_table(rows, limits, ["p"], len(seen)).join(small(cut(chosen, "mix-chosen")), "k", "left")
     more = F.when(F.col("size") > 0, F.coalesce((F.col("h") < F.col("low")).cast("int"), F.lit(0)) + F.coalesce("one", F.lit(0))).otherwise(0)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.col("base") + more, F.lit(MAX_REPEATS))).cast("int")
     return whole.select("id", "m", "p", "size", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])

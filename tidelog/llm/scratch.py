@@ -69,3 +69,14 @@ def buckets(df: DataFrame, bytes_each: int) -> int:
 def hash_unit(*cols: Column) -> Column:
     """A number in (0, 1) from a 64-bit hash of cols."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has `most` rows at most (counted here), else as it is: Spark then joins by a shuffle.
+
+    Only for cut tables of a few numbers a row: 500,000 such rows are about 40 MB in memory.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

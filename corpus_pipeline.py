@@ -1,12 +1,80 @@
-"""The corpus pipeline (stages are added below as their operators come)."""
+"""The corpus pipeline: language ID, n-gram Jaccard join, benchmark decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written
+as Parquet and read again for the next one. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm import decontaminate, jaccard, langid, mixing, scratch, sharding
+
+#: Documents whose n-grams are known to their language in a smaller share than this are rejected with the letterless ones.
+MIN_LANGUAGE_SCORE = 0.3
+
+_tables: list[tuple[int, int]] = []
+
+
+def stage(function):
+    """Frees the tables that the stage called before has cut: its result has been written by then."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _tables:
+            scratch.forget(spark, *_tables.pop())
+        since = scratch.mark()
+        out = function(spark, docs, sf_dir)
+        _tables.append((since, scratch.mark()))
+        return out
+
+    return run
+
+
+@stage
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those that no learned language knows."""
+    names = docs.columns
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*names)
+
+
+@stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar ones stays."""
+    return jaccard.keep_first(docs)
+
+
+@stage
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an occurrence of a benchmark window go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@stage
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or repeated."""
+    names = docs.columns
+    out = mixing.mix(docs, mixing.cycling_quotas, keep=tuple(names))
+    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+
+
+@stage
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(docs)
+
 
-STAGES: list = []
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
+#: Language ID, the join's hashes and the mix's seeded choice have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = scratch.cut(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

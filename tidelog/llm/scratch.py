@@ -63,7 +63,7 @@ def scan_bytes(df: DataFrame) -> int:
 def buckets(df: DataFrame, bytes_each: int) -> int:
     """A bucket count that grows with the scanned bytes, and is at least two for each core."""
     n = -(-scan_bytes(df) // bytes_each)
-    return int(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(n, 1 << 20)))
+    return int(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(n, 1 << 28)))
 
 
 def hash_unit(*cols: Column) -> Column:

@@ -29,6 +29,7 @@ LENGTH = 400
 GRAM = 100
 LONG = 8 << 20
 BUCKET_BYTES = 12 << 20
+PIECE_BYTES = 4 << 20
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
@@ -234,6 +235,20 @@ def repeated_windows(x: np.ndarray, start: np.ndarray, n: np.ndarray, turn: np.n
     return found[windows]
 
 
+def slices(todo: np.ndarray, group: np.ndarray, n: np.ndarray, limit: int = 1 << 21):
+    """Parts of `limit` bytes at most, or one anchor's pieces: what is sorted at once is bounded."""
+    held, size = [], 0
+    for a, z in runs(group[todo]):
+        own = todo[a:z]
+        if held and size + n[own].sum() > limit:
+            yield np.concatenate(held)
+            held, size = [], 0
+        held.append(own)
+        size += int(n[own].sum())
+    if held:
+        yield np.concatenate(held)
+
+
 def solve(length: int):
     """applyInArrow over the pieces of a bucket: (key, start, end) of the repeated bytes they show, merged in each piece."""
 
@@ -258,14 +273,15 @@ def solve(length: int):
         for j in np.flatnonzero((weight > 1)):
             covered[j] = (np.array([0]), np.array([head["n"][first[j]]]))
         todo = np.flatnonzero(~single & ~all_sure)
-        if len(todo):
-            n = head["n"][first[todo]].astype(np.int64)
-            flat = np.concatenate([x[start[i] : start[i + 1]] for i in first[todo]])
-            begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-            turn = head["a"][first[todo]] - head["pos"][first[todo]]
-            hit = repeated_windows(flat, begin, n, turn, group[todo], weight[todo], length)
-            ends = np.cumsum(n - length + 1)
-            for j, e, c in zip(todo, ends, n - length + 1, strict=True):
+        todo = todo[np.argsort(group[todo], kind="stable")]
+        n = head["n"][first].astype(np.int64)
+        for part in slices(todo, group, n):
+            flat = np.concatenate([x[start[i] : start[i + 1]] for i in first[part]])
+            begin = np.concatenate([[0], np.cumsum(n[part])])[:-1]
+            turn = head["a"][first[part]] - head["pos"][first[part]]
+            hit = repeated_windows(flat, begin, n[part], turn, group[part], weight[part], length)
+            ends = np.cumsum(n[part] - length + 1)
+            for j, e, c in zip(part, ends, n[part] - length + 1, strict=True):
                 if weight[j] > 1:
                     continue
                 w = np.concatenate([[False], hit[e - c : e], [False]])
@@ -325,7 +341,7 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     # One row of each text, that of its smallest id; should rows repeat it, so do their equal results, of which one is kept.
     kept = long.join(wanted.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text", "copies", "places")
     kept = cut(kept, "texts")
-    pieces_ = kept.mapInArrow(piece_rows(n, length, gram), "bucket int, head binary, raw binary")
+    pieces_ = kept.mapInArrow(piece_rows(buckets(rows, PIECE_BYTES), length, gram), "bucket int, head binary, raw binary")
     spans = pieces_.groupBy("bucket").applyInArrow(lambda t: solve(length)(t), "key long, start long, end long")
     spans = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     erased = kept.select("key", "text").join(spans, "key").select("key", "text", "starts", "ends").mapInArrow(erase, "key long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>").dropDuplicates(["key"])

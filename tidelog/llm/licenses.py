@@ -92,16 +92,35 @@ def scan(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str
     paragraphs = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n[ \t\r]*\n"), lambda p: F.instr(p, "\n") > 0)
     licence_file = F.coalesce(base.rlike(LICENCE_FILE), F.lit(False))
     units = F.concat(F.filter(lines, lambda x: x.rlike(v.anchor_regex)), F.filter(paragraphs, lambda x: x.rlike(v.anchor_regex)), F.when(licence_file, F.array(F.col("text"))).otherwise(F.array().cast("array<string>")))
-    units = F.when(F.coalesce(F.col("text").rlike(v.anchor_regex), F.lit(False)), units).otherwise(F.array().cast("array<string>"))
+    units = F.when(F.coalesce(F.col("text").rlike(v.anchor_regex), F.lit(False)), _reachable(units, v, threshold)).otherwise(F.array().cast("array<string>"))
     held = cut(rows.select(F.monotonically_increasing_id().alias("row"), "key", "path", licence_file.alias("licence_file"), units.alias("units")), "licenses")
     return _inherit(held, _best(held, v, spark, threshold))
 
 
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(_lower(text), F.lit(f"({TERM})"), 1)
+
+
+def _reachable(units: Column, v: Vectors, threshold: float) -> Column:
+    """The units whose terms hold enough of some template's vector: a cosine is at most the length of what is shared."""
+    known = F.array(*[F.lit(t) for t in v.idf])
+    by: dict[int, list[tuple[str, float]]] = {}
+    for term, template, _, weight in v.rows:
+        by.setdefault(template, []).append((term, weight * weight))
+
+    def reach(shared: Column) -> Column:
+        sums = [sum((F.when(F.array_contains(shared, t), w).otherwise(0.0) for t, w in terms), F.lit(0.0)) for terms in by.values()]
+        return F.greatest(*sums) >= (threshold - 1e-3) ** 2
+
+    held = F.transform(units, lambda t: F.struct(t.alias("t"), F.array_intersect(_terms(t), known).alias("s")))
+    return F.transform(F.filter(held, lambda x: reach(x["s"])), lambda x: x["t"])
+
+
 def _best(held: DataFrame, v: Vectors, spark: SparkSession, threshold: float) -> DataFrame:
     """row, license, score of the best unit that reaches the threshold."""
     vectors = _table(spark, v.rows, ["term", "template", "license", "weight"])
     idf = _table(spark, list(v.idf.items()), ["term", "idf"])
-    terms = held.select("row", F.posexplode("units").alias("unit", "text")).select("row", "unit", F.explode(F.regexp_extract_all(_lower(F.col("text")), F.lit(f"({TERM})"), 1)).alias("term"))
+    terms = held.select("row", F.posexplode("units").alias("unit", "text")).select("row", "unit", F.explode(_terms(F.col("text"))).alias("term"))
     # Both tables hold the templates' terms only: their size is fixed by the templates.
     tf = terms.groupBy("row", "unit", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(v.unknown)))
     norms = tf.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

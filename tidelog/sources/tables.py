@@ -71,7 +71,7 @@ ev AS (SELECT *, pubkey AS owner,
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem and orders as score cards: service = supplier, subject = customer."""
     l, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("l_orderkey * 8 + l_linenumber as n", "l_suppkey", "o_custkey", "l_quantity", "l_partkey", "unix_seconds(cast(l_shipdate as timestamp)) as created_at")
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("(l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey as n", "l_suppkey", "o_custkey", "l_quantity", "l_partkey", "unix_seconds(cast(l_shipdate as timestamp)) as created_at")
     return _events(j.selectExpr(f"{KEY.format('n', 'c')} as id", f"{KEY.format('l_suppkey', 'd')} as pubkey", "created_at", "30382 as kind", f"array(array('d', {KEY.format('o_custkey', 'a')}), array('rank', cast(cast(l_quantity as int) as string)), array('followers', cast(l_partkey as string))) as tags", "'' as content", "'' as sig"))
 
 
@@ -84,7 +84,7 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRUST_SQL = f"""
-cards AS (SELECT {DUCK_KEY.format('(l_orderkey * 8 + l_linenumber)', 'c')} AS id, {DUCK_KEY.format('l_suppkey', 'd')} AS service, {DUCK_KEY.format('o_custkey', 'a')} AS subject,
+cards AS (SELECT {DUCK_KEY.format('((l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey)', 'c')} AS id, {DUCK_KEY.format('l_suppkey', 'd')} AS service, {DUCK_KEY.format('o_custkey', 'a')} AS subject,
   cast(floor(epoch(l_shipdate)) AS BIGINT) AS created_at, least(greatest(cast(l_quantity AS INTEGER), 0), 100) AS rank, cast(l_partkey AS DOUBLE) AS followers FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 providers AS (SELECT DISTINCT {DUCK_KEY.format('s_suppkey', 'd')} AS service, {DUCK_KEY.format('s_nationkey', 'e')} AS observer, 'rank' AS dim FROM supplier
   UNION SELECT DISTINCT {DUCK_KEY.format('s_suppkey', 'd')}, {DUCK_KEY.format('((s_nationkey + 24) % 25)', 'e')}, 'followers' FROM supplier),

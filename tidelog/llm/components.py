@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .scratch import cut
 
 MAX_ROUNDS = 60
+#: So many edges (16 bytes each) are united in one task; more go through the rounds.
+ONE_TASK_EDGES = 250_000
 
 
 def _forest(batches):
@@ -34,15 +36,17 @@ def _forest(batches):
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """vertex, component (the smallest vertex it reaches) for every vertex that has an edge to another one.
+    """vertex, component (the smallest vertex it reaches) for every vertex that is not that smallest one itself.
 
     edges: two columns of longs; null ends, loops and repeated edges are harmless. Edges are first thinned to a spanning
     forest inside each partition; then large-star joins every vertex's larger neighbours to its smallest one, and
-    small-star its other smaller ones, until nothing changes. A star's centre only sends its minimum through a window-free
+    small-star its other smaller ones, until nothing changes; a small rest is united in one task. A star's centre only sends its minimum through a window-free
     aggregation, so a hot vertex is one partial aggregate in each task.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u != v")
     pairs = cut(pairs.mapInArrow(_forest, "u long, v long"), "forest")
+    if pairs.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        return cut(pairs.coalesce(1).mapInArrow(_forest, "vertex long, component long"), "forest")
     for _ in range(MAX_ROUNDS):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

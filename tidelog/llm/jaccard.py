@@ -26,7 +26,7 @@ from .textbytes import buffers, gram_hashes, lower_table, mix, pieces, runs, spa
 WORDS = 5
 PERCENT = 80
 SHARE = 0.35
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 LOWER = lower_table(lambda b: b != 32 and not 9 <= b <= 13)
 INSIDE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 U64 = np.uint64
@@ -163,7 +163,7 @@ def prefix_length(n, percent: int):
 
 
 def prefix_rows(percent: int, share: float):
-    """mapInArrow over (fp, n, hashes, lists of shared hashes): fp, n, grp, prefix.
+    """mapInArrow over (fp, n, hashes, lists of shared hashes): fp, n, grp, prefix, bits.
 
     The order of all hashes: those of the lowest part of the hash space by the number of classes that have them, then by
     value; after them all others by value. grp stands for the size and the whole prefix.
@@ -173,6 +173,7 @@ def prefix_rows(percent: int, share: float):
     def run(batches):
         for b in batches:
             out: list[bytes] = []
+            bits: list[bytes] = []
             n = b.column(1).to_numpy()
             for raw, lists, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), prefix_length(n, percent), strict=True):
                 v = np.frombuffer(raw, U64)
@@ -181,14 +182,15 @@ def prefix_rows(percent: int, share: float):
                 df[np.searchsorted(v, held["h"])] = held["df"]
                 df[v >= bound] = 1 << 40
                 out.append(v[np.lexsort((v, df))[: int(p)]].tobytes())
+                bits.append(np.packbits(np.bincount(((v >> U64(7)) % U64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes())
             whole = [int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=int(k).to_bytes(8, "little")).digest(), "little", signed=True) for k, x in zip(n, out, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.int64()), pa.array(out, pa.binary())], names=["fp", "n", "grp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.int64()), pa.array(out, pa.binary()), pa.array(bits, pa.binary())], names=["fp", "n", "grp", "prefix", "bits"])
 
     return run
 
 
 def postings(n_buckets: int):
-    """mapInArrow over (fp, n, grp, prefix, comp): for each bucket one row of packed postings."""
+    """mapInArrow over (fp, n, grp, prefix, comp, bits): for each bucket one row of packed postings and its classes' bits."""
 
     def run(batches):
         for b in batches:
@@ -200,30 +202,47 @@ def postings(n_buckets: int):
             for field, i in (("fp", 0), ("n", 1), ("g", 2), ("c", 4)):
                 parts[field] = np.repeat(b.column(i).to_numpy(), p)
             parts["i"] = np.arange(len(parts)) - np.repeat(np.cumsum(p) - p, p)
+            row, bits = np.repeat(np.arange(len(p)), p), np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(p), -1)
+            fps = b.column(0).to_numpy()
             to = (mix(parts["h"]) % U64(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            parts, to = parts[order], to[order]
+            parts, to, row = parts[order], to[order], row[order]
             own = runs(to)
-            yield pa.RecordBatch.from_arrays([pa.array(to[[a for a, _ in own]].astype(np.int32)), pa.array([parts[a:z].tobytes() for a, z in own], pa.binary())], names=["bucket", "rows"])
+            held = []
+            for a, z in own:
+                u = np.unique(row[a:z])
+                one = np.zeros(len(u), BITMAP)
+                one["fp"], one["b"] = fps[u], bits[u].view(U64)
+                held.append(one.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to[[a for a, _ in own]].astype(np.int32)), pa.array([parts[a:z].tobytes() for a, z in own], pa.binary()), pa.array(held, pa.binary())], names=["bucket", "rows", "bits"])
 
     return run
 
 
+BITS = 512
+BITMAP = np.dtype([("fp", np.int64), ("b", U64, (BITS // 64,))])
 POSTING = np.dtype([("h", U64), ("fp", np.int64), ("g", np.int64), ("c", np.int64), ("n", np.uint32), ("i", np.uint32)])
 
 
-def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Size and position filters for postings of one hash."""
+def _fits(x: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Size, position and bitmap filters for pairs of postings of one hash: each only leaves out pairs below the similarity."""
+    a, b = x[i], x[j]
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
     need = -(-(na + nb) * percent // (100 + percent))
     most = np.minimum(a["i"], b["i"]).astype(np.int64) + 1 + np.minimum(na - a["i"] - 1, nb - b["i"] - 1)
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (most >= need)
+    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (most >= need)
+    at = np.flatnonzero(ok)
+    ok[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(1, dtype=np.int64) <= (na + nb - 2 * need)[at]
+    return ok
 
 
-def _sorted(t: pa.Table) -> np.ndarray:
-    """Postings in order of (hash, size, group, class)."""
+def _sorted(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings in order of (hash, size, group, class), the classes' bits, and which of them each posting has."""
     x = np.concatenate([np.frombuffer(r, POSTING) for r in t["rows"].to_pylist()])
-    return x[np.lexsort((x["fp"], x["g"], x["n"], x["h"]))]
+    x = x[np.lexsort((x["fp"], x["g"], x["n"], x["h"]))]
+    known = np.concatenate([np.frombuffer(r, BITMAP) for r in t["bits"].to_pylist()])
+    known = known[np.unique(known["fp"], return_index=True)[1]]
+    return x, known["b"], np.searchsorted(known["fp"], x["fp"])
 
 
 def _starts(*cols: np.ndarray) -> np.ndarray:
@@ -239,15 +258,33 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": np.ascontiguousarray(u[:, 0]), "b": np.ascontiguousarray(u[:, 1])})
 
 
+LEADERS = 4
+
+
 def stars(percent: int):
-    """Candidates of the first round: of each hash, neighbours in order of size and group; so a chain through each group."""
+    """Candidates of the first round: of each hash, neighbours in order of size and group, and every class with the
+    LEADERS classes that come first by as many mixed orders of all classes. Mostly the same classes lead all hashes of a
+    dense group, so that its candidates are few and its links soon connect it."""
 
     def run(t: pa.Table) -> pa.Table:
-        x = _sorted(t)
+        x, bits, of = _sorted(t)
+        start = _starts(x["h"])
         at = np.flatnonzero(x["h"][1:] == x["h"][:-1])
-        a, b = x[at], x[at + 1]
-        ok = (a["g"] == b["g"]) | _fits(a, b, percent)
-        return _pairs(a["fp"][ok], b["fp"][ok])
+        left, right = [at], [at + 1]
+        for salt in range(LEADERS):
+            order = mix(x["fp"].view(U64) ^ U64(0x9E37 + salt))
+            low = np.repeat(np.minimum.reduceat(order, start[:-1]), np.diff(start))
+            lead = np.maximum.accumulate(np.where(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]), np.arange(len(x)), 0))
+            place = np.zeros(len(x), np.int64)
+            first = np.flatnonzero(order == low)
+            place[lead[first]] = first
+            left.append(place[lead])
+            right.append(np.arange(len(x)))
+        i, j = np.concatenate(left), np.concatenate(right)
+        keep = x["fp"][i] != x["fp"][j]
+        i, j = i[keep], j[keep]
+        ok = _fits(x, bits[of], i, j, percent)
+        return _pairs(x["fp"][i[ok]], x["fp"][j[ok]])
 
     return run
 
@@ -257,26 +294,35 @@ def crossing(percent: int):
     classes that are not yet in one component."""
 
     def run(t: pa.Table) -> pa.Table:
-        x = _sorted(t)
+        x, bits, of = _sorted(t)
         of_hash = _starts(x["h"])
         low, high = np.minimum.reduceat(x["c"], of_hash[:-1]), np.maximum.reduceat(x["c"], of_hash[:-1])
-        x = x[np.repeat(low != high, np.diff(of_hash))]
+        mixed = np.repeat(low != high, np.diff(of_hash))
+        x, of = x[mixed], of[mixed]
         if not len(x):
             return _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))
         start = _starts(x["h"], x["g"])
         start, size, head = start[:-1], np.diff(start), x[start[:-1]]
-        held = [np.zeros((0, 2), np.int64)]
+        sole = np.where(np.minimum.reduceat(x["c"], start) == np.maximum.reduceat(x["c"], start), x["c"][start], np.arange(-len(start), 0) - (1 << 62))
+        held, wide = [np.zeros((0, 2), np.int64)], bits[of]
         at, step = np.arange(len(head)), 0  # each group with itself, then with the next one of its hash, and so on
         while len(at):
-            for part in np.array_split(at, max(1, int((size[at] * size[at + step]).sum()) // 2_000_000)):
-                own = part if not step else part[_fits(head[part], head[part + step], percent)]
-                n = size[own] * size[own + step]
-                rep = np.repeat(np.arange(len(own)), n)
+            own = at[sole[at] != sole[at + step]] if step else at[sole[at] < -(1 << 61)]
+            for part in np.array_split(own, max(1, int((size[own] * size[own + step]).sum()) // 2_000_000)):
+                if step:  # groups are filtered by their heads' sizes and positions
+                    na, nb = head["n"][part].astype(np.int64), head["n"][part + step].astype(np.int64)
+                    most = np.minimum(head["i"][part], head["i"][part + step]).astype(np.int64) + 1 + np.minimum(na - head["i"][part] - 1, nb - head["i"][part + step] - 1)
+                    part = part[most >= -(-(na + nb) * percent // (100 + percent))]
+                n = size[part] * size[part + step]
+                rep = np.repeat(np.arange(len(part)), n)
                 turn = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-                width = size[own + step][rep]
-                a, b = x[start[own][rep] + turn // np.maximum(width, 1)], x[start[own + step][rep] + turn % np.maximum(width, 1)]
-                other = a["c"] != b["c"]
-                held.append(np.stack([np.minimum(a["fp"], b["fp"]), np.maximum(a["fp"], b["fp"])], 1)[other])
+                width = np.maximum(size[part + step][rep], 1)
+                i, j = start[part][rep] + turn // width, start[part + step][rep] + turn % width
+                other = x["c"][i] != x["c"][j]
+                i, j = i[other], j[other]
+                ok = _fits(x, wide, i, j, percent)
+                a, b = x["fp"][i[ok]], x["fp"][j[ok]]
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             if sum(map(len, held)) > 2_000_000:  # repeated pairs go before memory grows
                 held = [np.unique(np.concatenate(held), axis=0)]
             step += 1
@@ -334,11 +380,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     # Rows that repeat a (key, id) repeat a class here.
     sets = cut(sets.dropDuplicates(["fp"]), "sets")
     lists = shared.join(left.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.collect_list("shared").alias("lists"))
-    prefixes = cut(sets.join(lists, "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary"), "prefixes")
+    prefixes = cut(sets.join(lists, "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary, bits binary"), "prefixes")
     n_postings = buckets(prefixes, BUCKET_BYTES)
 
     def candidates(frame: DataFrame, find) -> DataFrame:
-        return frame.select("fp", "n", "grp", "prefix", "comp").mapInArrow(postings(n_postings), "bucket int, rows binary").groupBy("bucket").applyInArrow(lambda t: find(t), "a long, b long")
+        return frame.select("fp", "n", "grp", "prefix", "comp", "bits").mapInArrow(postings(n_postings), "bucket int, rows binary, bits binary").groupBy("bucket").applyInArrow(lambda t: find(t), "a long, b long")
 
     first = _links(candidates(prefixes.withColumn("comp", F.lit(0).cast("long")), stars(percent)), sets, percent)
     joined = components(first)

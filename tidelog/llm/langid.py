@@ -94,7 +94,7 @@ class Model:
                     bits = np.concatenate([[0], np.cumsum((mask >> self.table.dtype.type(l - s * width)) & self.table.dtype.type(1), dtype=np.int64)])
                     rate[:, l] = np.diff(bits[first]) / np.maximum(n, 1)
             fixed = np.clip((rate - self.false) / (1 - self.false), 0, 1)
-            best = fixed.argmax(1)
+            best = fixed.argmax(1) if self.langs else np.zeros(hi - lo, int)
             for i, ok in enumerate(letters[lo:hi]):
                 names.append(self.langs[best[i]] if ok and self.langs else UNKNOWN)
                 scores.append(float(fixed[i, best[i]]) if ok and self.langs else 0.0)

@@ -27,7 +27,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(col: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes at most, one row at least: memory is bounded by the longest text."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()

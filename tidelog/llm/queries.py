@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .licenses import report_sql
+from .oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL = {"op1_license_scan": report_sql()}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -28,9 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Cut tables of this driver; they outlive the frames that read them, and go by forget() or when the driver ends.
 _written: list[str] = []
 
 
+@atexit.register
+def _forget_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        with contextlib.suppress(Exception):  # the JVM may be gone by now
+            forget(spark)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written as Parquet to the shared folder and read back: a lost executor costs no recomputation."""
     spark = df.sparkSession

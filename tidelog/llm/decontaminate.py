@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import take
+from .scratch import frugal, take
 from .textbytes import buffers, gram_hashes, lower_table, pieces, span_hashes, words
 
 WINDOW = 10
@@ -99,7 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
     words of a shorter one); items without words, or null, have none. Matches by hash are verified on the words. Null and
     empty texts have no words. Positions are of words and of UTF-8 bytes in each text. Repeated rows get equal results.
     """
-    spark, names = docs.sparkSession, docs.columns
+    spark, names = docs.sparkSession, frugal(docs).columns
     out = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at = names.index(text)
     out = out.withColumn("_hits", F.lit(None).cast(HITS))

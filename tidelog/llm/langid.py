@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import take
+from .scratch import frugal, take
 from .textbytes import buffers, pieces
 
 GRAM = 4
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     One pass without a shuffle; the text alone decides. Ties go to the language that is commonest in the sample.
     """
-    names = docs.columns
+    names = frugal(docs).columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at, shared = names.index(text), docs.sparkSession.sparkContext.broadcast(model)
     schema = plain.withColumns({"_lang": F.lit("").cast("string"), "_score": F.lit(0.0)}).schema

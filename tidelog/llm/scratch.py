@@ -11,12 +11,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch, where the session sets none: whole texts of some MB at once bound a Python worker's memory.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def frugal(df: DataFrame) -> DataFrame:
+    """df; its session uses small Arrow batches from now on, unless it has a setting of its own."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def take(df: DataFrame, **cols: str) -> DataFrame:
     """Columns of df by exact (case-sensitive) name under new names: take(df, id="doc_id").
 
     Other columns, even ones that differ only in case or that repeat a new name, do no harm.
     """
-    names = df.columns
+    names = frugal(df).columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     return plain.select(*[F.col(f"_c{names.index(old)}").alias(new) for new, old in cols.items()])
 

@@ -19,10 +19,19 @@ ALNUM = re.compile(r"[^\W_]+")
 BOUNDARY = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
+class _Marks(dict):
+    """For str.translate: marks go, all else stays; filled as characters are met."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = None if unicodedata.category(chr(c)) == "Mn" else c
+        return self[c]
+
+
+_MARKS = _Marks()
+
+
 def _strip(s: str, form: str) -> str:
-    if s.isascii():
-        return s.lower()
-    return "".join(c for c in unicodedata.normalize(form, s) if unicodedata.category(c) != "Mn").lower()
+    return s.lower() if s.isascii() else unicodedata.normalize(form, s).translate(_MARKS).lower()
 
 
 def fold(s: str) -> str:

@@ -58,20 +58,23 @@ def owner() -> Column:
     return F.when(F.col("kind") == GIFT_WRAP, F.coalesce(first_value("p"), F.col("pubkey"))).otherwise(F.col("pubkey"))
 
 
-#: Code points that no text may hold: C0 but for TAB, LF and CR; U+FDD0-U+FDEF's lower half; the last two of each plane.
-UNSTORABLE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFDD0-\\uFDDF\\uFFFE\\uFFFF" + "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(1, 17)) + "]"
+#: Code points that no text may hold: C0 but for TAB, LF and CR; U+FDD0 to U+FDDF; the last two of each plane.
+UNSTORABLE = "".join(map(chr, [*range(9), 11, 12, *range(14, 32), *range(0xFDD0, 0xFDE0), *(p * 0x10000 + x for p in range(17) for x in (0xFFFE, 0xFFFF))]))
+
+
+def without_unstorable(c: Column) -> Column:
+    return F.translate(c, UNSTORABLE, "")
 
 
 def storable() -> Column:
     """Content and tags are kept verbatim, so one code point that cannot be stored refuses the event."""
     text = F.concat_ws(" ", F.coalesce("content", F.lit("")), F.array_join(F.flatten(F.coalesce("tags", F.array().cast("array<array<string>>"))), " "))
-    return ~text.rlike(UNSTORABLE)
+    return without_unstorable(text) == text
 
 
 def sanitize(c: Column) -> Column:
     """Derived search text loses such code points instead; empty is null."""
-    clean = F.trim(F.regexp_replace(c, UNSTORABLE, ""))
-    return F.when(clean != "", clean)
+    return F.nullif(F.trim(without_unstorable(c)), F.lit(""))
 
 
 def derive(events: DataFrame) -> DataFrame:

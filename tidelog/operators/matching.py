@@ -64,16 +64,15 @@ def trigrams(word: str) -> list[str]:
 
 
 def grams_in(field: str, word: str, least: int) -> Column:
-    """Every trigram of the word inside words of the field (lower case, accents kept)."""
+    """Every trigram of the word inside words of the field (lower case, accents kept).
+
+    The trigrams are letters and digits only, so one that the text contains lies inside one of its words.
+    """
     grams = trigrams(word)
     if len(grams) < least:
         return F.lit(False)
-    runs = F.split(F.lower(F.col(field)), r"[^\p{L}\p{Nd}]+")
-    return F.coalesce(all_of([_some(runs, g) for g in grams]), F.lit(False))
-
-
-def _some(runs: Column, g: str) -> Column:
-    return F.exists(runs, lambda t: F.contains(t, F.lit(g)))
+    low = F.lower(F.col(field))
+    return F.coalesce(all_of([F.contains(low, F.lit(g)) for g in grams]), F.lit(False))
 
 
 def body_phrase(word: str) -> Column:

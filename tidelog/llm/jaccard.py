@@ -370,17 +370,16 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     low = cut(rows.mapInArrow(low_hashes(n_buckets, k, share), LOW_DDL), "low")
     texts = low.where("kind = 0").select("id", "key", "n", "low", "fp")
     shared = low.where("kind = 1").select("bucket", "fps", "counts", "hashes").groupBy("bucket").applyInArrow(lambda t: shared_hashes(t), "fp long, c long, shared binary")
-    shared = cut(shared, "shared")
-    count = shared.groupBy("fp").agg(F.sum("c").alias("c"))
+    # One row a class, however many buckets its hashes were dealt to.
+    shared = cut(shared.groupBy("fp").agg(F.sum("c").alias("c"), F.collect_list("shared").alias("lists")), "shared")
     one = texts.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min(F.struct("key", "id")).alias("r"))
     least = F.floor((F.col("n") * percent + 99) / 100)
-    left = cut(one.join(count, "fp", "left").where(F.col("low") - F.coalesce("c", F.lit(0)) <= F.col("n") - least).select("fp", F.col("r.key").alias("key"), F.col("r.id").alias("id")), "left")
+    left = cut(one.join(shared.select("fp", "c"), "fp", "left").where(F.col("low") - F.coalesce("c", F.lit(0)) <= F.col("n") - least).select("fp", F.col("r.key").alias("key"), F.col("r.id").alias("id")), "left")
     kept = rows.join(small(left), (rows["key"] == left["key"]) & rows["id"].eqNullSafe(left["id"])).select("fp", "text")
     sets = kept.mapInArrow(set_rows(k), "fp long, n long, hashes binary").where("n > 0")
     # Rows that repeat a (key, id) repeat a class here.
     sets = cut(sets.dropDuplicates(["fp"]), "sets")
-    lists = shared.join(left.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.collect_list("shared").alias("lists"))
-    prefixes = cut(sets.join(lists, "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary, bits binary"), "prefixes")
+    prefixes = cut(sets.join(shared.select("fp", "lists"), "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary, bits binary"), "prefixes")
     n_postings = buckets(prefixes, BUCKET_BYTES)
 
     def candidates(frame: DataFrame, find) -> DataFrame:

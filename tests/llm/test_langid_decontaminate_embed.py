@@ -125,3 +125,20 @@ def test_embedding_links(spark, monkeypatch):
         r = got[a[0]]
         assert (r["n_links"], r["component_id"], r["kept"]) == (links, least, a[0] == least), a[0]
     assert embeddup.link(df.limit(0)).count() == 0
+
+
+def test_embedding_links_of_isolated_pairs_in_a_crowded_label(spark):
+    """Vectors around one direction, so that their signs hardly differ: each planted pair is linked, and nothing else."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(rng.standard_normal(64)) + 0.9 * unit(rng.standard_normal((5_000, 64))))
+    far = rng.standard_normal((300, 64))
+    far = unit(far - (far * x[:300]).sum(1, keepdims=True) * x[:300])
+    x = np.concatenate([x, 0.94 * x[:300] + (1 - 0.94**2) ** 0.5 * far])
+    want = np.tril(x @ x.T >= 0.93, -1)
+    want = set(zip(*(v.tolist() for v in np.nonzero(want)), strict=True))
+    assert {(5_000 + i, i) for i in range(300)} <= want and len(want) < 400
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embeddup.link(df).collect()}
+    assert sum(r["n_links"] for r in got.values()) == 2 * len(want)
+    assert all(got[a]["component_id"] == got[b]["component_id"] for a, b in want)

@@ -1,8 +1,9 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by exact comparison in blocks.
 
-In each pass vectors of one label are ordered by a string of random hyperplane signs, and each is compared with the next
-`window` ones. Verified pairs of all passes are united to components. Inside each component every pair is then compared
-in blocks, so that the links of dense groups, which no bounded window holds, are counted in full.
+The different vectors of one label are dealt by hash to blocks of BLOCK_ROWS at most on average, and each pair of blocks is
+compared whole. A pair of blocks gives each of its vectors the number of its links there and the smallest vector that it
+reaches there; the sums of the first and the components of the second are the result. No pair is left out, so the work
+grows with the square of a label's different vectors.
 """
 
 from __future__ import annotations
@@ -12,13 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import _forest, components
-from .scratch import buckets, cut, take
+from .components import components
+from .scratch import cut, take
 
 COSINE = 0.93
-PASSES = 12
-WINDOW = 32
-KEY_BITS = 62
 BLOCK_ROWS = 4_000
 
 
@@ -29,56 +27,21 @@ def unit(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def by_length(col: pa.Array):
-    """Row numbers of each vector length in the array."""
-    n = np.diff(col.offsets.to_numpy())
-    for d in np.unique(n):
-        yield int(d), np.flatnonzero(n == d)
-
-
-def sign_keys(seed: int):
-    """mapInArrow over (class, grp, vector): the same with a sort key of KEY_BITS hyperplane signs between grp and vector."""
-
-    def run(batches):
-        for b in batches:
-            keys = np.zeros(b.num_rows, np.int64)
-            for d, at in by_length(b.column(2)):
-                planes = np.random.default_rng([seed, d]).standard_normal((d, KEY_BITS))
-                keys[at] = ((unit(b.column(2).take(pa.array(at))) @ planes) >= 0) @ (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), b.column(2)], names=["class", "grp", "key", "vector"])
-
-    return run
-
-
-def neighbours(window: int, cosine: float):
-    """mapInArrow over sorted (class, grp, key, vector): a spanning forest of the pairs within the window that reach the cosine."""
-
-    def pairs(batches):
-        before: pa.RecordBatch | None = None
-        for b in batches:
-            t = pa.Table.from_batches([before, b] if before is not None else [b]).combine_chunks().to_batches()
-            if not t:
-                continue
-            t = t[0]
-            old = before.num_rows if before is not None else 0
-            ids, grp = t.column(0).to_numpy(), t.column(1).to_numpy()
-            lengths = np.diff(t.column(3).offsets.to_numpy())
-            runs = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (lengths[1:] != lengths[:-1]), [True]]))
-            for a, z in zip(runs[:-1], runs[1:], strict=True):
-                if z <= old or z - a < 2:
-                    continue
-                x, own = unit(t.column(3).slice(a, z - a)), ids[a:z]
-                for w in range(1, min(window, len(own) - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-w], x[w:]) >= cosine)
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array(own[hit + w])], names=["u", "v"])
-            before = t.slice(max(0, t.num_rows - window))
-
-    return lambda batches: _forest(pairs(batches))
+def unite(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """low (the smallest member of each one's set, so far) after a[i] and b[i] have come into one set."""
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
 
 
 def block_links(cosine: float):
-    """applyInArrow over one block pair of a component: links of each class to classes of the other side, by weight."""
+    """applyInArrow over one block pair of a label: each class's links to classes of the other side, by weight, and a class that it reaches."""
 
     def run(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
@@ -87,19 +50,21 @@ def block_links(cosine: float):
         x = unit(t["vector"].combine_chunks())
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
-        n = np.zeros(len(ids), np.int64)
+        n, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for a in range(0, len(left), 512):
             own = left[a : a + 512]
             hit = (x[own] @ x[right].T >= cosine) & (own[:, None] != right[None, :])
-            n[own] += hit @ m[right]
+            i, j = np.nonzero(hit)
+            low = unite(low, own[i], right[j])
+            np.add.at(n, own[i], m[right[j]])
             if not same:
-                n[right] += m[own] @ hit
-        return pa.table({"class": ids, "n": n})
+                np.add.at(n, right[j], m[own[i]])
+        return pa.table({"class": ids, "n": n, "low": ids[low]})
 
     return run
 
 
-def link(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def link(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors.
 
     Only vectors of one label (not null) and one length are compared. Null, empty or zero vectors and those with null or
@@ -114,20 +79,14 @@ def link(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     good = rows.where(~F.col("bad"))
     classes = good.groupBy("h", "g").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("m"), F.xxhash64(F.first("label"), F.size(F.first("vector"))).alias("grp"))
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    n = buckets(classes, 8 << 20)
-    found = None
-    for seed in range(passes):
-        keyed = classes.select("class", "grp", "vector").mapInArrow(sign_keys(seed), f"class long, grp long, key long, vector {classes.schema['vector'].dataType.simpleString()}")
-        order = keyed.repartitionByRange(n, "grp", "key", "class").sortWithinPartitions("grp", "key", "class")
-        pairs = cut(order.mapInArrow(neighbours(window, cosine), "u long, v long"), f"pass-{seed}")
-        found = pairs if found is None else found.union(pairs)
-    roots = cut(components(found, "u", "v").select(F.col("vertex").alias("class"), F.col("component").alias("root")), "roots")
+    sizes = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS).cast("int"))
+    inside = classes.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # Each row meets every block of its label once: as the left side for blocks after its own, else as the right one.
+    spread = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "class", "m", "vector")
+    met = cut(spread.groupBy("grp", "p", "q").applyInArrow(lambda t: block_links(cosine)(t), "class long, n long, low long").where("n > 0"), "links")
+    counts = met.groupBy("class").agg(F.sum("n").alias("n"))
+    roots = cut(components(met, "class", "low").select(F.col("vertex").alias("class"), F.col("component").alias("root")), "roots")
     linked = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    sizes = linked.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where("k > 1").withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS).cast("int"))
-    inside = linked.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    # Each row meets every block of its component once: as the left side for blocks after its own, else as the right one.
-    spread = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "class", "m", "vector")
-    counts = spread.groupBy("root", "p", "q").applyInArrow(lambda t: block_links(cosine)(t), "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
     table = linked.join(counts, "class", "left").select("h", "g", "root", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"))
     joined = cut(rows.select("vec_id", "h", "g", "bad").join(table, ["h", "g"], "left"), "linked")
     least = joined.where(~F.col("bad")).groupBy("root").agg(F.min("vec_id").alias("low"))

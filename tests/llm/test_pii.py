@@ -56,3 +56,20 @@ def test_report_on_edge_rows_and_learned_spans(spark):
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "to a@b.co now"), (None, None)], "doc_id long, text string")
     assert {r["text"] for r in pii.redact(docs).collect()} == {"to [email] now", None}
+
+
+def test_patterns_learned_from_discovered_tokens(spark):
+    """'hotline no' and 'desk is' have no base form at all, only tokens that 'call me' finds and others."""
+    texts = [f"please call me: +1 (555) 2{i:02d}-4567 today" for i in range(80)]
+    found = [f"77-{i:02d}-8899" for i in range(12)]
+    texts += [f"please call me: {t} today" for t in found]
+    later = [f"88-{i:02d}-7766" for i in range(12)]
+    texts += [f"the hotline no: {t} works" for t in found + later[:1]]
+    texts += ["the hotline no: 99-11-0000 works"]
+    texts += [f"front desk is {t} always" for t in [*found, "66-55-4433"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    for i, t in enumerate(texts):
+        assert by[i]["spans"].startswith("phone:"), t
+    alone = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if "call" not in t], "doc_id long, text string")
+    assert all(r["spans"] == "" for r in pii.report(alone).collect())

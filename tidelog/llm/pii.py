@@ -30,7 +30,6 @@ EDGE = "\"'`.,;:!?()[]{}<>"
 #: A pattern counts from this many different seed instances on; a token, from this confidence on.
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -132,29 +131,31 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return cut(rows.mapInArrow(run, f"row long, doc_id {id_type}, m array<struct<a:long,z:long,k:int,i:string,p:array<string>>>"), "pii")
 
 
-def confident(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(instance, kind, score) of instances without a base form, from edges (pattern, instance, kind or -1), distinct.
 
-    A pattern's confidence in a kind: the belief in that kind summed over its instances, by its number of instances plus
-    one; it needs `min_seeds` different seeds. A token's belief: 1 - product of (1 - confidence) over its patterns that
-    are at MIN_CONFIDENCE at least. Each round only aggregates and joins by pattern or instance.
+    A pattern's confidence in a kind: the number of its seeds by that of its instances plus one; it needs `min_seeds`
+    different seeds. A token's belief: 1 - product of (1 - confidence) over its patterns that are at MIN_CONFIDENCE at
+    least. A token of at least that belief is a seed of the rounds that follow, so that patterns which no base form has
+    count too; seeds only become more, and the rounds end when none is added. Each only aggregates and joins by pattern
+    or instance.
     """
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds"))
-    size = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size"))
-    base = seeds.where(F.col("seeds") >= min_seeds).join(size, "pattern")
+    # A pattern with fewer instances can never have enough seeds.
+    sizes = cut(edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size")).where(F.col("size") >= min_seeds), "pii-sizes")
+    seeds = cut(edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")).join(sizes.select("pattern"), "pattern"), "pii-seeds")
     open_ = edges.where("kind < 0").select("pattern", "instance").distinct().join(edges.where("kind >= 0").select("instance").distinct(), "instance", "left_anti")
-    open_ = cut(open_.join(base.select("pattern").distinct(), "pattern"), "pii-open")
-    base = cut(base, "pii-patterns")
-    belief = None
-    for _ in range(rounds):
-        more = base.withColumn("more", F.lit(0.0))
-        if belief is not None:
-            sums = open_.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-            more = base.join(sums, ["pattern", "kind"], "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
-        patterns = more.withColumn("conf", (F.col("seeds") + F.col("more")) / (F.col("size") + 1)).where(F.col("conf") >= MIN_CONFIDENCE)
+    open_ = cut(open_.join(sizes.select("pattern"), "pattern"), "pii-open")
+    accepted, known = None, 0
+    while True:
+        more = seeds
+        if accepted is not None:
+            more = seeds.unionByName(open_.join(accepted, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
+        patterns = more.where(F.col("seeds") >= min_seeds).join(sizes, "pattern").withColumn("conf", F.col("seeds") / (F.col("size") + 1)).where(F.col("conf") >= MIN_CONFIDENCE)
         beliefs = open_.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
-        belief = cut(beliefs, "pii-belief")
-    return belief.where(F.col("score") >= MIN_CONFIDENCE).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
+        accepted = cut(beliefs, "pii-accepted")  # each has a pattern of MIN_CONFIDENCE
+        before, known = known, accepted.count()
+        if known == before:
+            return accepted.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
 
 
 def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,7 +166,7 @@ def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     """
     found = scan(docs, key, text)
     long = found.select("row", F.explode("m").alias("m")).select("row", "m.*")
-    edges = long.select(F.explode("p").alias("pattern"), F.col("i").alias("instance"), F.col("k").alias("kind")).distinct()
+    edges = cut(long.select(F.explode("p").alias("pattern"), F.col("i").alias("instance"), F.col("k").alias("kind")).distinct(), "pii-edges")
     good = confident(edges)
     # A token needs one of its patterns among the confident ones: those are what made its instance confident.
     new = long.where("k < 0").join(good, long["i"] == good["instance"]).select("row", F.struct(F.col("a").alias("start"), F.col("kind").cast("int").alias("kind"), F.col("z").alias("end")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("new"))

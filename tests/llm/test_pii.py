@@ -73,3 +73,15 @@ def test_patterns_learned_from_discovered_tokens(spark):
         assert by[i]["spans"].startswith("phone:"), t
     alone = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if "call" not in t], "doc_id long, text string")
     assert all(r["spans"] == "" for r in pii.report(alone).collect())
+
+
+def test_instances_are_whole_tokens(spark):
+    """Tokens with the digits of a base entity elsewhere are searched; different ones are different instances."""
+    texts = [f"please write to: a{i}@b.co today" for i in range(30)] + ["please write to: jane7@intranet today", "please write to: x.20@mail24 today"]
+    texts += [f"the machine host at 10.1.2.{i} runs" for i in range(30)] + ["old machine 7 with 2024 parts and 2029 nuts"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert by[30] == "email:17:31" and by[31] == "email:17:28"
+    assert by[62] == ""
+    assert pii.instance("10.1.2.3", 1) != pii.instance("1.0.12.3", 1) and pii.instance("555-12", -1) == pii.instance("(555) 12", -1)
+    assert len({pii.instance(t, -1) for t in ("x.20@mail24", "2024", "bob7@a.b", "+2024", "x2024")}) == 5

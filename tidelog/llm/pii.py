@@ -73,6 +73,16 @@ def words_before(text: str, at: int, n: int) -> list[str]:
     return [w.strip(EDGE).lower() for w in text[max(0, at - 80) : at].split()[-n:]]
 
 
+def instance(text: str, kind: int) -> str:
+    """What makes two mentions one: the kind of form, and the whole text in lower case, or + and digits where it is a number.
+
+    Dotted texts keep their dots: 10.1.2.3 is not 1.0.12.3.
+    """
+    form = KINDS[kind] if kind >= 0 else "token"
+    number = not re.search(r"[^\W\d_]|@", text) and not re.fullmatch(r"[0-9]+(?:\.[0-9]+)+", text)
+    return f"{form} {'+' * text.startswith('+') + DIGITS.sub('', text) if number else ' '.join(text.lower().split())}"
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """Base entities and other identifier-like tokens: (start, end, kind or -1, instance, patterns)."""
     found = [(a, z, k) for a, z, k in spans]
@@ -104,7 +114,7 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             patterns.append(f"glued {(begin or inner[0]).lower()}")
         elif a > 1 and re.search(r"[:=#]\s?\Z", text[max(0, a - 2) : a]) and left:
             patterns.append(f"label {left[-1]}")
-        out.append((a, z, k, DIGITS.sub("", text[a:z]) or text[a:z].lower(), patterns))
+        out.append((a, z, k, instance(text[a:z], k), patterns))
     return out
 
 
@@ -134,6 +144,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(instance, kind, score) of instances without a base form, from edges (pattern, instance, kind or -1), distinct.
 
+    Instances with and without a base form never share a name, so that none leaves the search for another one's sake.
     A pattern's confidence in a kind: the number of its seeds by that of its instances plus one; it needs `min_seeds`
     different seeds. A token's belief: 1 - product of (1 - confidence) over its patterns that are at MIN_CONFIDENCE at
     least. A token of at least that belief is a seed of the rounds that follow, so that patterns which no base form has
@@ -143,8 +154,7 @@ def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     # A pattern with fewer instances can never have enough seeds.
     sizes = cut(edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size")).where(F.col("size") >= min_seeds), "pii-sizes")
     seeds = cut(edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")).join(sizes.select("pattern"), "pattern"), "pii-seeds")
-    open_ = edges.where("kind < 0").select("pattern", "instance").distinct().join(edges.where("kind >= 0").select("instance").distinct(), "instance", "left_anti")
-    open_ = cut(open_.join(sizes.select("pattern"), "pattern"), "pii-open")
+    open_ = cut(edges.where("kind < 0").select("pattern", "instance").distinct().join(sizes.select("pattern"), "pattern"), "pii-open")
     accepted, known = None, 0
     while True:
         more = seeds

@@ -85,3 +85,23 @@ def test_instances_are_whole_tokens(spark):
     assert by[62] == ""
     assert pii.instance("10.1.2.3", 1) != pii.instance("1.0.12.3", 1) and pii.instance("555-12", -1) == pii.instance("(555) 12", -1)
     assert len({pii.instance(t, -1) for t in ("x.20@mail24", "2024", "bob7@a.b", "+2024", "x2024")}) == 5
+
+
+def test_identifiers_with_spaces(spark):
+    phones = ["555 123 4567", "030 12 34 56", "(555) 123-9999", "5551 234 567"]
+    emails = ["jane at example dot com", "jane [at] example.com", "bob(at)mail (dot) example (dot) org"]
+    luhn = [c for i in range(4000) if pii.luhn(c := f"411111111111{i:04d}")][:30]
+    texts, want = [], []
+    for i in range(30):
+        texts += [f"please call me: +1 (555) 123-45{i:02d} today", f"please write to: a{i}@b.co today", f"the card no: {luhn[i]} expired"]
+    for kind, label, found in (("phone", "please call me:", phones), ("email", "please write to:", emails), ("card", "the card no:", ["4111 1111 1111 1112"])):
+        for x in found:
+            want.append((len(texts), kind, label, x))
+            texts.append(f"{label} {x} {'expired' if kind == 'card' else 'today'}")
+    texts += ["we met at noon dot after 12 34 56 78 90 " + "12 " * 5_000, "7" * 200_000 + " at x.y", "555 123 4567x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    for i, kind, label, x in want:
+        a = len(label) + 1
+        assert by[i] == f"{kind}:{a}:{a + len(x)}", x
+    assert by[len(texts) - 1] == by[len(texts) - 2] == by[len(texts) - 3] == ""

@@ -8,10 +8,12 @@ form. Tokens whose confidence is high become spans of that kind.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut, take
@@ -24,8 +26,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
-#: An identifier-like token: at least four digits, or an @ or an at-sign in words.
+#: An identifier-like token: at least four digits, or an @.
 TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+#: Groups of digits joined by single spaces, dots, hyphens, slashes or brackets, from the edge of a token or a label on.
+_DIGITS = r"[0-9]++(?![\w@])"
+GROUPS = re.compile(rf"(?<![^\s:=#(\[{{<\"'`,;])\+?\(?{_DIGITS}(?:(?:[\x20./-]|\)[\x20./-]?|[\x20./-]?\(){_DIGITS})++")
+#: More digits than any identifier has (an IBAN's 34): a list of numbers.
+MOST_DIGITS = 34
+#: An e-mail address with its at-sign in words, its dots too or not. RE2 reads it too, and finds the texts that have one.
+_AT = r"[A-Za-z0-9._%+-]+(?:[\x20\t]?[\[({<][\x20\t]?[Aa][Tt][\x20\t]?[\])}>][\x20\t]?|[\x20\t][Aa][Tt][\x20\t])[A-Za-z0-9-]+(?:(?:[\x20\t]?[\[({<][\x20\t]?[Dd][Oo][Tt][\x20\t]?[\])}>][\x20\t]?|[\x20\t][Dd][Oo][Tt][\x20\t]|\.)[A-Za-z0-9-]+)+"
+AT_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_AT}")
 EDGE = "\"'`.,;:!?()[]{}<>"
 #: A pattern counts from this many different seed instances on; a token, from this confidence on.
 MIN_SEEDS = 5
@@ -83,22 +93,39 @@ def instance(text: str, kind: int) -> str:
     return f"{form} {'+' * text.startswith('+') + DIGITS.sub('', text) if number else ' '.join(text.lower().split())}"
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """Base entities and other identifier-like tokens: (start, end, kind or -1, instance, patterns)."""
+def wide(text: str) -> list[tuple[int, int]]:
+    """(start, end) of identifier-like mentions with spaces inside, in order and apart."""
+    out = [(m.start(), m.end()) for m in AT_WORDS.finditer(text)]
+    taken = {c for a, z in out for c in range(a, z)}
+    for m in GROUPS.finditer(text):
+        a = m.start() + (m[0].lstrip("+").startswith("(") and ")" not in m[0])
+        if " " in m[0] and 4 <= sum(c in "0123456789" for c in m[0]) <= MOST_DIGITS and m.start() not in taken and m.end() - 1 not in taken:
+            out.append((a, m.end()))
+    return sorted(out)
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str], str, int]]:
+    """Base entities and other identifier-like mentions: (start, end, kind or -1, instance, patterns, slot, slot's start).
+
+    A mention with spaces inside and the tokens within it are readings of one slot, which has the name and start of the
+    former; any other mention is a slot of its own.
+    """
     found = [(a, z, k) for a, z, k in spans]
     ends = sorted((a, z) for a, z, _ in spans)
     starts = np.array([a for a, _ in ends])
     reach = np.maximum.accumulate(np.array([z for _, z in ends])) if ends else None
+    free = lambda a, z: not ends or (i := int(np.searchsorted(starts, z, "left")) - 1) < 0 or reach[i] <= a
+    slots = [(a, z) for a, z in wide(text) if free(a, z)]
+    found += [(a, z, -1) for a, z in slots]
+    whole, slot_starts = set(slots), [a for a, _ in slots]
     for m in TOKEN.finditer(text):
         own = m[0].strip(EDGE)
         a = m.start() + (len(m[0]) - len(m[0].lstrip(EDGE)))
         z = a + len(own)
         if "@" not in own and sum(c in "0123456789" for c in own) < 4:
             continue
-        i = int(np.searchsorted(starts, z, "left")) - 1 if ends else -1
-        if i >= 0 and reach[i] > a:
-            continue
-        found.append((a, z, -1))
+        if free(a, z) and (a, z) not in whole:
+            found.append((a, z, -1))
     out = []
     for a, z, k in found:
         left = words_before(text, a, 2)
@@ -114,11 +141,13 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             patterns.append(f"glued {(begin or inner[0]).lower()}")
         elif a > 1 and re.search(r"[:=#]\s?\Z", text[max(0, a - 2) : a]) and left:
             patterns.append(f"label {left[-1]}")
-        out.append((a, z, k, instance(text[a:z], k), patterns))
+        i = bisect_left(slot_starts, z) - 1 if k < 0 else -1
+        b, y = slots[i] if i >= 0 and slots[i][1] > a else (a, z)
+        out.append((a, z, k, instance(text[a:z], k), patterns, instance(text[b:y], k), b))
     return out
 
 
-SCAN = pa.struct([("a", pa.int64()), ("z", pa.int64()), ("k", pa.int32()), ("i", pa.string()), ("p", pa.list_(pa.string()))])
+SCAN = pa.struct([("a", pa.int64()), ("z", pa.int64()), ("k", pa.int32()), ("i", pa.string()), ("p", pa.list_(pa.string())), ("w", pa.string()), ("b", pa.int64())])
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,36 +161,38 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])[offs]
             at = np.concatenate([[0], np.cumsum(data == 64)])[offs]
             digit, at = np.diff(digit) > 0, np.diff(at) > 0
+            spelled = pc.fill_null(pc.match_substring_regex(b.column(2), _AT), False).to_numpy(zero_copy_only=False)
             out: list[list] = [[] for _ in range(b.num_rows)]
-            for i in np.flatnonzero(digit | at):
+            for i in np.flatnonzero(digit | at | spelled):
                 t = b.column(2)[int(i)].as_py()
-                out[i] = [dict(zip(("a", "z", "k", "i", "p"), m, strict=True)) for m in mentions(t, base_spans(t, digit[i], at[i]))]
+                out[i] = [dict(zip(("a", "z", "k", "i", "p", "w", "b"), m, strict=True)) for m in mentions(t, base_spans(t, digit[i], at[i]))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(SCAN))], names=["row", "doc_id", "m"])
 
-    return cut(rows.mapInArrow(run, f"row long, doc_id {id_type}, m array<struct<a:long,z:long,k:int,i:string,p:array<string>>>"), "pii")
+    return cut(rows.mapInArrow(run, f"row long, doc_id {id_type}, m array<struct<a:long,z:long,k:int,i:string,p:array<string>,w:string,b:long>>"), "pii")
 
 
 def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(instance, kind, score) of instances without a base form, from edges (pattern, instance, kind or -1), distinct.
+    """(instance, kind, score) of instances without a base form, from edges (pattern, instance, kind or -1, slot), distinct.
 
     Instances with and without a base form never share a name, so that none leaves the search for another one's sake.
-    A pattern's confidence in a kind: the number of its seeds by that of its instances plus one; it needs `min_seeds`
+    A pattern's confidence in a kind: the number of its seeds by that of its instances plus one, where the readings of
+    one slot count once; it needs `min_seeds`
     different seeds. A token's belief: 1 - product of (1 - confidence) over its patterns that are at MIN_CONFIDENCE at
     least. A token of at least that belief is a seed of the rounds that follow, so that patterns which no base form has
     count too; seeds only become more, and the rounds end when none is added. Each only aggregates and joins by pattern
     or instance.
     """
     # A pattern with fewer instances can never have enough seeds.
-    sizes = cut(edges.groupBy("pattern").agg(F.countDistinct("instance").alias("size")).where(F.col("size") >= min_seeds), "pii-sizes")
+    sizes = cut(edges.groupBy("pattern").agg(F.countDistinct("slot").alias("size")).where(F.col("size") >= min_seeds), "pii-sizes")
     seeds = cut(edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")).join(sizes.select("pattern"), "pattern"), "pii-seeds")
-    open_ = cut(edges.where("kind < 0").select("pattern", "instance").distinct().join(sizes.select("pattern"), "pattern"), "pii-open")
+    open_ = cut(edges.where("kind < 0").select("pattern", "instance", "slot").distinct().join(sizes.select("pattern"), "pattern"), "pii-open")
     accepted, known = None, 0
     while True:
         more = seeds
         if accepted is not None:
-            more = seeds.unionByName(open_.join(accepted, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
+            more = seeds.unionByName(open_.join(accepted, "instance").groupBy("pattern", "kind").agg(F.countDistinct("slot").alias("seeds"))).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
         patterns = more.where(F.col("seeds") >= min_seeds).join(sizes, "pattern").withColumn("conf", F.col("seeds") / (F.col("size") + 1)).where(F.col("conf") >= MIN_CONFIDENCE)
-        beliefs = open_.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
+        beliefs = open_.select("pattern", "instance").distinct().join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
         accepted = cut(beliefs, "pii-accepted")  # each has a pattern of MIN_CONFIDENCE
         before, known = known, accepted.count()
         if known == before:
@@ -176,10 +207,14 @@ def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     """
     found = scan(docs, key, text)
     long = found.select("row", F.explode("m").alias("m")).select("row", "m.*")
-    edges = cut(long.select(F.explode("p").alias("pattern"), F.col("i").alias("instance"), F.col("k").alias("kind")).distinct(), "pii-edges")
+    edges = cut(long.select(F.explode("p").alias("pattern"), F.col("i").alias("instance"), F.col("k").alias("kind"), F.col("w").alias("slot")).distinct(), "pii-edges")
     good = confident(edges)
     # A token needs one of its patterns among the confident ones: those are what made its instance confident.
-    new = long.where("k < 0").join(good, long["i"] == good["instance"]).select("row", F.struct(F.col("a").alias("start"), F.col("kind").cast("int").alias("kind"), F.col("z").alias("end")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("new"))
+    found_ = long.where("k < 0").join(good, long["i"] == good["instance"]).withColumn("inner", F.col("i") != F.col("w"))
+    # Of the readings of one slot the one with spaces stays, or those within it if one of them has a higher score.
+    best = lambda inner: F.coalesce(F.max(F.when(F.col("inner") == inner, F.col("score"))).over(Window.partitionBy("row", "b")), F.lit(-1.0))
+    kept = found_.withColumns({"whole": best(False), "part": best(True)}).where(F.col("inner") == (F.col("part") > F.col("whole")))
+    new = kept.select("row", F.struct(F.col("a").alias("start"), F.col("kind").cast("int").alias("kind"), F.col("z").alias("end")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("new"))
     base = F.array_sort(F.transform(F.filter("m", lambda x: x["k"] >= 0), lambda x: F.struct(x["a"].alias("start"), x["k"].alias("kind"), x["z"].alias("end"))))
     out = found.select("row", "doc_id", base.alias("base")).join(new, "row", "left")
     return out.select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("new", F.expr("cast(array() as array<struct<start:long,kind:int,end:long>>)")))).alias("spans"))

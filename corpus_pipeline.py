@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, jaccard, langid, mixing, scratch, sharding
 
-#: Documents whose n-grams are known to their language in a smaller share than this are rejected with the letterless ones.
+#: Documents whose n-grams are known to their language in a smaller share than this are rejected with the letterless ones,
+#: if they have so many that the share tells something.
 MIN_LANGUAGE_SCORE = 0.3
+JUDGED_GRAMS = 20
 
 _tables: list[tuple[int, int]] = []
 
@@ -36,10 +38,17 @@ def stage(function):
 
 @stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those that no learned language knows."""
+    """Rejects documents without letters, and those long enough to judge that no learned language knows.
+
+    The latter stay if no language was learned at all, or not the one of their label.
+    """
     names = docs.columns
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
-    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*names)
+    lettered = langid.predict(docs, model).where(F.col("grams").isNotNull())
+    if model.langs:
+        other = F.col("lang").isNotNull() & ~F.col("lang").isin(list(model.langs))
+        lettered = lettered.where((F.col("score") >= MIN_LANGUAGE_SCORE) | (F.col("grams") < JUDGED_GRAMS) | other)
+    return lettered.select(*names)
 
 
 @stage

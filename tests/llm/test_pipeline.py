@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import corpus_pipeline as p
 from pyspark.sql import functions as F
@@ -39,3 +40,17 @@ def test_stages(spark, tmp_path):
     whole = p.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(kept["shards"])
     assert whole.where(F.col("shard").between(0, 15)).count() == len(kept["shards"])
+
+
+def test_language_keeps_what_it_cannot_judge(spark):
+    rng = random.Random(7)
+    words = "the and of to in is that for it was on with".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(30))
+    odd = "qxzj vkwq zzxq jqvx kkzw xqjz wvzk qqxj"
+    rows = [(i, text(), "en", "s") for i in range(80)]
+    rows += [(100, "A.", "en", "s"), (101, "qxzj vk", None, "s"), (102, odd, None, "s"), (103, "12 34 !!", "en", "s"), (104, None, "en", "s"), (105, "", "en", "s")]
+    rare = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 4 == 2)  # held out: its language is not learned
+    docs = spark.createDataFrame([*rows, (rare, odd + " " + odd, "xx", "s")], "doc_id long, text string, lang string, source string")
+    kept = lambda d: sorted(r["doc_id"] for r in p.language(spark, d, "").collect())
+    assert kept(docs) == [*range(80), 100, 101, rare]
+    assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == [*range(80), 100, 101, 102, rare]

@@ -75,8 +75,9 @@ class Model:
     table: np.ndarray  # slots x slices of 64 languages (or one slice of 8, 16 or 32)
     false: np.ndarray  # each language's rate of false positives
 
-    def predict(self, col: pa.Array) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def predict(self, col: pa.Array) -> tuple[list[str], list[float], list[int | None]]:
+        """Language, score and number of n-grams (None without a letter) of each text."""
+        names, scores, grams = [], [], []
         letters = has_letter(col)
         for lo, hi in pieces(col):
             data, offs = normal(*buffers(col.slice(lo, hi - lo)))
@@ -98,7 +99,8 @@ class Model:
             for i, ok in enumerate(letters[lo:hi]):
                 names.append(self.langs[best[i]] if ok and self.langs else UNKNOWN)
                 scores.append(float(fixed[i, best[i]]) if ok and self.langs else 0.0)
-        return names, scores
+                grams.append(int(n[i]) if ok else None)
+        return names, scores, grams
 
 
 def slots(g: np.ndarray, k: int) -> np.ndarray:
@@ -172,21 +174,23 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with two columns at the end: lang_pred (und if text is null or has no letter) and score (0 to 1).
+    """docs with three columns at the end: lang_pred (und if text is null or has no letter), score (0 to 1) and grams.
+
+    grams is the number of n-grams that the score rests on, null if text is null or has no letter.
 
     One pass without a shuffle; the text alone decides. Ties go to the language that is commonest in the sample.
     """
     names = frugal(docs).columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at, shared = names.index(text), docs.sparkSession.sparkContext.broadcast(model)
-    schema = plain.withColumns({"_lang": F.lit("").cast("string"), "_score": F.lit(0.0)}).schema
+    schema = plain.withColumns({"_lang": F.lit("").cast("string"), "_score": F.lit(0.0), "_grams": F.lit(None).cast("long")}).schema
 
     def run(batches):
         for b in batches:
-            names_, scores = shared.value.predict(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names_, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "_lang", "_score"])
+            names_, scores, grams = shared.value.predict(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names_, pa.string()), pa.array(scores, pa.float64()), pa.array(grams, pa.int64())], names=[*b.schema.names, "_lang", "_score", "_grams"])
 
-    return plain.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
+    return plain.mapInArrow(run, schema).toDF(*names, "lang_pred", "score", "grams")
 
 
 def held_out(key: str) -> Column:

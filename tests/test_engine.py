@@ -114,6 +114,16 @@ def test_trust_orders_and_gates(spark):
     assert ids("") == [0, 1]
 
 
+def test_matches_beyond_the_rerank_window_stay(spark):
+    rows = indexed(frame(spark, [event(i, 0, author=f"{i:064x}", content=json.dumps({"name": "bob"})) for i in range(1200)]))
+    rep = spark.createDataFrame([(f"{i:064x}", A, 90 if i >= 1150 else 50, 1.0) for i in range(1200)], "subject string, observer string, influence int, followers float")
+    q = grammar.apply(EventQuery(), "bob", observer=A)
+    got = [(int(r["id"], 16), r["score"]) for r in recall.recall(rows, q, rep).collect()]
+    assert [i for i, _ in got] == [*range(1150, 1200), *range(1150)]
+    assert got[999][1] > got[1000][1] and len({x for _, x in got[50:1000]}) == len({x for _, x in got[1000:]}) == 1
+    assert recall.count(rows, [q], rep).first()["n"] == 1200
+
+
 def test_merges(spark):
     rows = derive(frame(spark, [event(i, i % 3, at=i) for i in range(12)]))
     got = [int(r["id"], 16) for r in recall.query(rows, [EventQuery(kinds=[1], limit=2), EventQuery(since=9, limit=2)]).collect()]

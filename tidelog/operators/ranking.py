@@ -158,8 +158,8 @@ def population_tier() -> Column:
 def scored(rows: DataFrame, corpus: DataFrame, q: EventQuery, reputation: DataFrame | None = None) -> DataFrame:
     """rows (already matched) with score and tier, below-floor and dropped rows gone; not yet ordered.
 
-    The text profile with an observer works in two steps: all rows by text times trust, then the best RERANK with their
-    precision added.
+    The text profile with an observer works in two steps: all rows by text times trust, then the best RERANK get their
+    precision added; it is never negative, so that the others, which keep their scores, follow them.
     """
     floor = q.min_rank if q.min_rank is not None else -1e9
     profile, terms = q.profile(), spoken(q.search) + spoken(q.phrases)
@@ -178,4 +178,5 @@ def scored(rows: DataFrame, corpus: DataFrame, q: EventQuery, reputation: DataFr
         return kept.withColumns({"score": relevance(terms, stats), "tier": tier})
     first = rows.withColumns({"score": text_score(terms, stats) * trust_multiplier(floor), "tier": tier}).where(F.col("score") > DROP)
     best = first.orderBy(F.desc("score"), F.desc("created_at"), "id").limit(RERANK)
-    return best.withColumn("score", F.col("score") + precision(terms) * trust_multiplier(floor))
+    rest = first.join(best.select("id"), "id", "left_anti")
+    return best.withColumn("score", F.col("score") + precision(terms) * trust_multiplier(floor)).unionByName(rest)

@@ -5,8 +5,9 @@
    out of reach leaves here; that proof needs no candidate pairs.
 2. The other classes' hashes are put in one order, rare ones first, and cut to their prefixes; classes with equal prefix
    and size form one group.
-   Groups that share a prefix hash and pass the size and position filters are candidates. They are verified in two
-   rounds: first each group against the first group of each hash (stars), then only pairs still in different components.
+   Groups that share a prefix hash and pass the size and position filters are candidates. They are verified in rounds:
+   first each class against a few leaders of each hash (stars), then against the nearest of many leaders in other
+   components as long as that brings links, and last all pairs still in different components, each offered once.
 3. Verified links are joined to components; nothing is ever expanded inside a component that is already connected.
 """
 
@@ -204,6 +205,9 @@ def postings(n_buckets: int):
             parts["i"] = np.arange(len(parts)) - np.repeat(np.cumsum(p) - p, p)
             row, bits = np.repeat(np.arange(len(p)), p), np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(p), -1)
             fps = b.column(0).to_numpy()
+            heads = np.zeros((len(p), HEAD), U64)
+            early = parts["i"] < HEAD
+            heads[row[early], parts["i"][early]] = parts["h"][early]
             to = (mix(parts["h"]) % U64(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             parts, to, row = parts[order], to[order], row[order]
@@ -212,7 +216,7 @@ def postings(n_buckets: int):
             for a, z in own:
                 u = np.unique(row[a:z])
                 one = np.zeros(len(u), BITMAP)
-                one["fp"], one["b"] = fps[u], bits[u].view(U64)
+                one["fp"], one["b"], one["head"] = fps[u], bits[u].view(U64), heads[u]
                 held.append(one.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(to[[a for a, _ in own]].astype(np.int32)), pa.array([parts[a:z].tobytes() for a, z in own], pa.binary()), pa.array(held, pa.binary())], names=["bucket", "rows", "bits"])
 
@@ -220,11 +224,13 @@ def postings(n_buckets: int):
 
 
 BITS = 512
-BITMAP = np.dtype([("fp", np.int64), ("b", U64, (BITS // 64,))])
+#: So many of a class's rarest prefix hashes go with its bitmap, so that a pair is offered by the first of them it shares.
+HEAD = 16
+BITMAP = np.dtype([("fp", np.int64), ("b", U64, (BITS // 64,)), ("head", U64, (HEAD,))])
 POSTING = np.dtype([("h", U64), ("fp", np.int64), ("g", np.int64), ("c", np.int64), ("n", np.uint32), ("i", np.uint32)])
 
 
-def _fits(x: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def _fits(x: np.ndarray, known: np.ndarray, of: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Size, position and bitmap filters for pairs of postings of one hash: each only leaves out pairs below the similarity."""
     a, b = x[i], x[j]
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
@@ -232,17 +238,29 @@ def _fits(x: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, percent
     most = np.minimum(a["i"], b["i"]).astype(np.int64) + 1 + np.minimum(na - a["i"] - 1, nb - b["i"] - 1)
     ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (most >= need)
     at = np.flatnonzero(ok)
-    ok[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(1, dtype=np.int64) <= (na + nb - 2 * need)[at]
+    ok[at] = np.bitwise_count(known["b"][of[i[at]]] ^ known["b"][of[j[at]]]).sum(1, dtype=np.int64) <= (na + nb - 2 * need)[at]
     return ok
 
 
+def _first(x: np.ndarray, known: np.ndarray, of: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Is this hash the first that a pair shares, as far as their heads tell? A pair that reaches the similarity passes the
+    filters at every hash it shares, so that one hash may offer it for all."""
+    out = np.ones(len(i), bool)
+    for lo in range(0, len(i), 1 << 14):
+        a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        before = known["head"][of[a]][:, :, None] == known["head"][of[b]][:, None, :]
+        before &= (np.arange(HEAD) < x["i"][a][:, None])[:, :, None] & (np.arange(HEAD) < x["i"][b][:, None])[:, None, :]
+        out[lo : lo + (1 << 14)] = ~before.any((1, 2))
+    return out
+
+
 def _sorted(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings in order of (hash, size, group, class), the classes' bits, and which of them each posting has."""
+    """Postings in order of (hash, size, group, class), what is known of the classes, and which of them each posting has."""
     x = np.concatenate([np.frombuffer(r, POSTING) for r in t["rows"].to_pylist()])
     x = x[np.lexsort((x["fp"], x["g"], x["n"], x["h"]))]
     known = np.concatenate([np.frombuffer(r, BITMAP) for r in t["bits"].to_pylist()])
     known = known[np.unique(known["fp"], return_index=True)[1]]
-    return x, known["b"], np.searchsorted(known["fp"], x["fp"])
+    return x, known, np.searchsorted(known["fp"], x["fp"])
 
 
 def _starts(*cols: np.ndarray) -> np.ndarray:
@@ -259,6 +277,20 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
 
 
 LEADERS = 4
+#: Leaders that a class looks at in a later round, of which it takes one.
+CHOICES = 64
+#: Later rounds go on while one adds this share of the links known before it.
+GAIN = 0.05
+
+
+def _leaders(x: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each posting the place of its hash's posting with the smallest order."""
+    size = np.diff(start)
+    place = np.zeros(len(x), np.int64)
+    first = np.flatnonzero(order == np.repeat(np.minimum.reduceat(order, start[:-1]), size))
+    lead = np.repeat(start[:-1], size)
+    place[lead[first]] = first
+    return place[lead]
 
 
 def stars(percent: int):
@@ -267,44 +299,67 @@ def stars(percent: int):
     dense group, so that its candidates are few and its links soon connect it."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, bits, of = _sorted(t)
+        x, known, of = _sorted(t)
         start = _starts(x["h"])
         at = np.flatnonzero(x["h"][1:] == x["h"][:-1])
         left, right = [at], [at + 1]
         for salt in range(LEADERS):
-            order = mix(x["fp"].view(U64) ^ U64(0x9E37 + salt))
-            low = np.repeat(np.minimum.reduceat(order, start[:-1]), np.diff(start))
-            lead = np.maximum.accumulate(np.where(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]), np.arange(len(x)), 0))
-            place = np.zeros(len(x), np.int64)
-            first = np.flatnonzero(order == low)
-            place[lead[first]] = first
-            left.append(place[lead])
+            left.append(_leaders(x, mix(x["fp"].view(U64) ^ U64(0x9E37 + salt)), start))
             right.append(np.arange(len(x)))
         i, j = np.concatenate(left), np.concatenate(right)
         keep = x["fp"][i] != x["fp"][j]
         i, j = i[keep], j[keep]
-        ok = _fits(x, bits[of], i, j, percent)
+        ok = _fits(x, known, of, i, j, percent)
         return _pairs(x["fp"][i[ok]], x["fp"][j[ok]])
 
     return run
 
 
+def nearest(percent: int, turn: int):
+    """Candidates of a later round, one a class and hash at most: of CHOICES leaders (the first classes by as many orders
+    mixed with the round's number) that are in other components the one whose bitmap differs least."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, known, of = _sorted(t)
+        x, of = _mixed(x, of)
+        bits = known["b"]
+        best, far = np.full(len(x), -1), np.full(len(x), 1 << 30)
+        start = _starts(x["h"])
+        for salt in range(CHOICES if len(x) else 0):
+            i = _leaders(x, mix(x["fp"].view(U64) ^ U64(0xA5110000 + CHOICES * turn + salt)), start)
+            j = np.flatnonzero(x["c"][i] != x["c"])
+            j = j[_fits(x, known, of, i[j], j, percent)]
+            gap = np.bitwise_count(bits[of[i[j]]] ^ bits[of[j]]).sum(1, dtype=np.int64)
+            nearer = gap < far[j]
+            best[j[nearer]], far[j[nearer]] = i[j[nearer]], gap[nearer]
+        j = np.flatnonzero(best >= 0)
+        return _pairs(x["fp"][best[j]], x["fp"][j])
+
+    return run
+
+
+def _mixed(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The postings of hashes whose classes are in more than one component."""
+    if not len(x):
+        return x, of
+    start = _starts(x["h"])
+    mixed = np.repeat(np.minimum.reduceat(x["c"], start[:-1]) != np.maximum.reduceat(x["c"], start[:-1]), np.diff(start))
+    return x[mixed], of[mixed]
+
+
 def crossing(percent: int):
-    """Candidates of the second round: of each hash, the group pairs that pass the filters, expanded to the pairs of their
+    """Candidates of the last round: of each hash, the group pairs that pass the filters, expanded to the pairs of their
     classes that are not yet in one component."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, bits, of = _sorted(t)
-        of_hash = _starts(x["h"])
-        low, high = np.minimum.reduceat(x["c"], of_hash[:-1]), np.maximum.reduceat(x["c"], of_hash[:-1])
-        mixed = np.repeat(low != high, np.diff(of_hash))
-        x, of = x[mixed], of[mixed]
+        x, known, of = _sorted(t)
+        x, of = _mixed(x, of)
         if not len(x):
             return _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))
         start = _starts(x["h"], x["g"])
         start, size, head = start[:-1], np.diff(start), x[start[:-1]]
         sole = np.where(np.minimum.reduceat(x["c"], start) == np.maximum.reduceat(x["c"], start), x["c"][start], np.arange(-len(start), 0) - (1 << 62))
-        held, wide = [np.zeros((0, 2), np.int64)], bits[of]
+        held = [np.zeros((0, 2), np.int64)]
         at, step = np.arange(len(head)), 0  # each group with itself, then with the next one of its hash, and so on
         while len(at):
             own = at[sole[at] != sole[at + step]] if step else at[sole[at] < -(1 << 61)]
@@ -320,7 +375,9 @@ def crossing(percent: int):
                 i, j = start[part][rep] + turn // width, start[part + step][rep] + turn % width
                 other = x["c"][i] != x["c"][j]
                 i, j = i[other], j[other]
-                ok = _fits(x, wide, i, j, percent)
+                ok = _fits(x, known, of, i, j, percent)
+                i, j = i[ok], j[ok]
+                ok = _first(x, known, of, i, j)
                 a, b = x["fp"][i[ok]], x["fp"][j[ok]]
                 held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             if sum(map(len, held)) > 2_000_000:  # repeated pairs go before memory grows
@@ -385,11 +442,19 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     def candidates(frame: DataFrame, find) -> DataFrame:
         return frame.select("fp", "n", "grp", "prefix", "comp", "bits").mapInArrow(postings(n_postings), "bucket int, rows binary, bits binary").groupBy("bucket").applyInArrow(lambda t: find(t), "a long, b long")
 
-    first = _links(candidates(prefixes.withColumn("comp", F.lit(0).cast("long")), stars(percent)), sets, percent)
-    joined = components(first)
-    known = prefixes.join(joined.select(F.col("vertex").alias("fp"), F.col("component")), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
-    second = _links(candidates(known, crossing(percent)), sets, percent)
-    roots = components(first.union(second))
+    links = _links(candidates(prefixes.withColumn("comp", F.col("fp")), stars(percent)), sets, percent)
+    had, turn = 0, 0
+    while True:
+        roots = components(links)
+        known = prefixes.join(roots.select(F.col("vertex").alias("fp"), F.col("component")), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
+        now = links.count()
+        if not turn or now - had > GAIN * had:
+            more = _links(candidates(known, nearest(percent, turn)), sets, percent)
+            links, had, turn = links.union(more), now, turn + 1
+            continue
+        break
+    more = _links(candidates(known, crossing(percent)), sets, percent)
+    roots = components(links.union(more))
     return texts.select("id", "key", "n", "fp"), roots.select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
 
 

@@ -7,6 +7,7 @@ corrected for that language's false positives, and the language with the largest
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,21 +15,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import frugal, take
+from .scratch import cut, frugal, take
 from .textbytes import buffers, pieces
 
 GRAM = 4
 #: Labelled rows of each language that the fit reads: those with the smallest hash of (id, text).
 SAMPLE_ROWS = 2_000
-#: N-grams that a language's filter holds at most, the most frequent ones.
-TOP_GRAMS = 30_000
-SLOT_BITS = 18
+#: A filter has SLOTS_EACH slots for each n-gram of the language that has most, in powers of two between these: beyond
+#: the largest a filter drops nothing, but has more false positives, which are measured and corrected.
+SLOTS_EACH = 8
+SLOT_BITS = (16, 22)
 SEEDS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 UNKNOWN = "und"
 
 
+def _lower_pairs() -> np.ndarray:
+    """For each character of two UTF-8 bytes the bytes of its lower case, or its own where that has another length."""
+    both = [(chr(c).encode(), chr(c).lower().encode()) for c in range(0x80, 0x800)]
+    return np.array([list(low if len(low) == 2 else own) for own, low in both], np.uint8)
+
+
+LOWER_PAIRS = _lower_pairs()
+
+
 def normal(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with a space before and after each; A-Z and the Latin-1 capitals lower-cased, other ASCII made spaces."""
+    """Texts with a space before and after each; A-Z and capitals of two bytes (Latin, Greek, Cyrillic) lower-cased, other
+    ASCII made spaces."""
     n = len(offs) - 1
     out = np.full(len(data) + 2 * n, 32, np.uint8)
     new = offs + 2 * np.arange(n + 1)
@@ -37,8 +49,9 @@ def normal(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     table[97:123] = table[65:91] = np.arange(97, 123)
     table[128:] = np.arange(128, 256)
     out[at] = table[data]
-    high = np.flatnonzero((out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97) & (out[:-1] == 0xC3)) + 1
-    out[high] += 32
+    lead = np.flatnonzero((out >= 0xC2) & (out <= 0xDF))
+    pair = (out[lead].astype(np.int64) - 0xC2) * 64 + (out[lead + 1] - 0x80)
+    out[lead], out[lead + 1] = LOWER_PAIRS[pair, 0], LOWER_PAIRS[pair, 1]
     return out, new
 
 
@@ -75,6 +88,10 @@ class Model:
     table: np.ndarray  # slots x slices of 64 languages (or one slice of 8, 16 or 32)
     false: np.ndarray  # each language's rate of false positives
 
+    @property
+    def bits(self) -> int:
+        return len(self.table).bit_length() - 1
+
     def predict(self, col: pa.Array) -> tuple[list[str], list[float], list[int | None]]:
         """Language, score and number of n-grams (None without a letter) of each text."""
         names, scores, grams = [], [], []
@@ -87,9 +104,9 @@ class Model:
             rate = np.zeros((hi - lo, len(self.langs)))
             width = self.table.dtype.itemsize * 8
             for s in range(self.table.shape[1]):
-                mask = self.table[slots(g, 0), s]
+                mask = self.table[slots(g, 0, self.bits), s]
                 for k in range(1, len(SEEDS)):
-                    mask &= self.table[slots(g, k), s]
+                    mask &= self.table[slots(g, k, self.bits), s]
                 mask[~live] = 0
                 for l in range(s * width, min(len(self.langs), (s + 1) * width)):
                     bits = np.concatenate([[0], np.cumsum((mask >> self.table.dtype.type(l - s * width)) & self.table.dtype.type(1), dtype=np.int64)])
@@ -103,42 +120,60 @@ class Model:
         return names, scores, grams
 
 
-def slots(g: np.ndarray, k: int) -> np.ndarray:
+def slots(g: np.ndarray, k: int, bits: int) -> np.ndarray:
     h = g * SEEDS[k]
-    return (h ^ (h << np.uint32(13))) * SEEDS[(k + 1) % len(SEEDS)] >> np.uint32(32 - SLOT_BITS)
+    return (h ^ (h << np.uint32(13))) * SEEDS[(k + 1) % len(SEEDS)] >> np.uint32(32 - bits)
 
 
-def build(counts: dict[str, dict[int, int]], texts: dict[str, int], top: int = TOP_GRAMS) -> Model:
-    """A filter for each language of its most frequent n-grams that it uses at a fourth of any other's rate at least.
+def slot_bits(grams: int) -> int:
+    """Bits of a slot number for languages of so many n-grams at most."""
+    return min(max(SLOT_BITS[0], (SLOTS_EACH * max(1, grams) - 1).bit_length()), SLOT_BITS[1])
 
-    Languages stand by their number of sampled rows, the commonest first, so that ties go to the commonest.
-    """
-    langs = sorted(counts, key=lambda l: (-texts[l], l))
-    width = next((w for w in (8, 16, 32, 64) if len(langs) <= w), 64)
-    table = np.zeros((1 << SLOT_BITS, -(-max(1, len(langs)) // width)), f"u{width // 8}")
-    rates = {l: {g: c / max(1, sum(counts[l].values())) for g, c in counts[l].items()} for l in langs}
-    high: dict[int, float] = {}
-    for own in rates.values():
-        for g, r in own.items():
-            high[g] = max(high.get(g, 0), r)
-    for i, l in enumerate(langs):
-        kept = sorted((g for g, r in rates[l].items() if 4 * r >= high[g] and (counts[l][g] > 1 or len(counts[l]) < top)), key=lambda g: (-counts[l][g], g))[:top]
-        for k in range(len(SEEDS)):
-            table[slots(np.array(kept, np.uint32), k), i // width] |= table.dtype.type(1 << i % width)
+
+def slot_width(langs: int) -> int:
+    return next((w for w in (8, 16, 32, 64) if langs <= w), 64)
+
+
+def slot_rows(bits: int, width: int):
+    """mapInArrow over (g, i: a language's number): slot, slice and the bits that they set, merged in each batch."""
+
+    def run(batches):
+        for b in batches:
+            g, i = b.column(0).to_numpy().astype(np.uint32), b.column(1).to_numpy().astype(np.int64)
+            at = np.concatenate([slots(g, k, bits).astype(np.int64) for k in range(len(SEEDS))]) << 32 | np.tile(i // width, len(SEEDS))
+            mask = np.uint64(1) << np.tile(i % width, len(SEEDS)).astype(np.uint64)
+            order = np.argsort(at, kind="stable")
+            start = np.flatnonzero(np.diff(at[order], prepend=-1))
+            merged = np.bitwise_or.reduceat(mask[order], start) if len(start) else mask
+            at = at[order][start]
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 32), pa.array(at & 0xFFFFFFFF), pa.array(merged.view(np.int64))], names=["slot", "part", "mask"])
+
+    return run
+
+
+def build(langs: list[str], bits: int, rows: Iterable[pa.RecordBatch]) -> Model:
+    """The model whose filters have the bits of rows (slot, part, mask) set."""
+    width = slot_width(len(langs))
+    table = np.zeros((1 << bits, -(-max(1, len(langs)) // width)), f"u{width // 8}")
+    for b in rows:
+        table[b.column(0).to_numpy(), b.column(1).to_numpy()] |= b.column(2).to_numpy().view(np.uint64).astype(table.dtype)
     fill = [((table[:, i // width] >> table.dtype.type(i % width)) & table.dtype.type(1)).mean() for i in range(len(langs))]
     return Model(langs, table, np.array(fill) ** len(SEEDS))
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE_ROWS, top: int = TOP_GRAMS) -> Model:
-    """Learn from `sample` rows of each language at most (those with the smallest hashes), counted on the executors.
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE_ROWS) -> Model:
+    """Learn from `sample` rows of each language at most (those with the smallest hashes, ties by key), on the executors.
 
-    Rows with null text or language teach nothing; without any row the model predicts `und` for every text.
+    A language's filter holds every n-gram that it uses at a fourth of any other's rate at least; the driver only gets
+    the filters. Rows with null text or language teach nothing; without any row the model predicts `und` for every text.
+    Repeated rows count as often as they are sampled. Languages stand by their number of sampled rows, the commonest
+    first, so that ties go to the commonest. Whole texts are read, however long.
     """
     rows = take(labelled, lang=lang, text=text, id=key).where("lang is not null and text is not null")
     total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # A hash threshold that keeps twice the wanted rows bounds what is sorted; smaller languages keep all.
     if not total:
-        return build({}, {})
+        return build([], SLOT_BITS[0], [])
+    # A hash threshold that keeps twice the wanted rows bounds what is sorted; smaller languages keep all.
     share = F.create_map(*[F.lit(x) for l, n in total.items() for x in (l, min(1.0, 2.0 * sample / n))])
     unit = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / F.lit(float(1 << 53))
     near = rows.withColumn("u", unit).where(F.col("u") <= share[F.col("lang")])
@@ -160,17 +195,18 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
                 n = len(own)
                 yield pa.RecordBatch.from_pydict({"lang": [l] * (n + 1), "g": [0, *own.keys()], "c": [rows[l], *own.values()]}, pa.schema([("lang", pa.string()), ("g", pa.int64()), ("c", pa.int64())]))
 
-    sums = kept.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("g") != 0, F.desc("c"), "g"))).where(F.col("r") <= 2 * top + 1)
-    counts: dict[str, dict[int, int]] = {}
-    texts: dict[str, int] = {}
-    for r in ranked.select("lang", "g", "c").collect():
-        counts.setdefault(r["lang"], {})
-        if r["g"]:
-            counts[r["lang"]][r["g"]] = r["c"]
-        else:
-            texts[r["lang"]] = r["c"]
-    return build(counts, texts, top)
+    spark, live = rows.sparkSession, F.col("g") != 0
+    sums = cut(kept.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), "langid")
+    sizes = sums.groupBy("lang").agg(F.sum(F.when(~live, F.col("c"))).alias("texts"), F.sum(F.when(live, F.col("c"))).alias("total"), F.count(F.when(live, 1)).alias("grams")).collect()
+    sizes = sorted(sizes, key=lambda r: (-r["texts"], r["lang"]))
+    langs, bits = [r["lang"] for r in sizes], slot_bits(max(r["grams"] for r in sizes))
+    # One row a language.
+    order = F.broadcast(spark.createDataFrame([(r["lang"], i, float(max(1, r["total"] or 0))) for i, r in enumerate(sizes)], "lang string, i long, total double"))
+    rated = sums.where(live).join(order, "lang").select("g", "i", (F.col("c") / F.col("total")).alias("rate"))
+    high = rated.groupBy("g").agg(F.max("rate").alias("high"))
+    own = rated.join(high, "g").where(4 * F.col("rate") >= F.col("high")).select("g", "i")
+    masks = own.mapInArrow(slot_rows(bits, slot_width(len(langs))), "slot long, part long, mask long").groupBy("slot", "part").agg(F.bit_or("mask").alias("mask"))
+    return build(langs, bits, masks.toArrow().to_batches())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

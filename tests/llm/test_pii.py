@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tidelog.llm import pii
 
@@ -75,6 +76,26 @@ def test_patterns_learned_from_discovered_tokens(spark):
     assert all(r["spans"] == "" for r in pii.report(alone).collect())
 
 
+def test_each_mention_is_judged_by_its_own_context(spark):
+    texts = [f"you can call me: +1 (555) 123-45{i:02d} today" for i in range(20)]
+    texts += ["you can call me: 555-123-9999 today", "part no 5551239999 shipped", "5551239999", "555-123-9999"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert by[20] == "phone:17:29" and by[21] == by[22] == by[23] == ""
+
+
+def test_long_texts_without_spaces(spark):
+    """A second at most for a million letters with a few digits, and names of bounded length."""
+    texts = ["x" * 1_000_000 + "1", "1" + "x" * 1_000_000, "x1" * 500_000, "x@" * 500_000, "a" * 500_000 + "@" + "b" * 500_000, "1." * 500_000, "1 " * 500_000, "+1(" * 300_000, "a at " * 200_000]
+    for t in texts:
+        began = time.process_time()
+        found = pii.mentions(t, pii.base_spans(t))
+        assert time.process_time() - began < 5, t[:10]
+        assert all(len(m[3]) < 300 and len(m[5]) < 300 and all(len(p) < 300 for p in m[4]) for m in found), t[:10]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.report(docs).count() == len(texts)
+
+
 def test_instances_are_whole_tokens(spark):
     """Tokens with the digits of a base entity elsewhere are searched; different ones are different instances."""
     texts = [f"please write to: a{i}@b.co today" for i in range(30)] + ["please write to: jane7@intranet today", "please write to: x.20@mail24 today"]

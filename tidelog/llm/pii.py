@@ -7,6 +7,7 @@ form. Tokens whose confidence is high become spans of that kind.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 
@@ -26,8 +27,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
-#: An identifier-like token: at least four digits, or an @.
-TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+#: Runs without white space, of which those with at least four digits or an @ are identifier-like.
+TOKEN = re.compile(r"\S+")
+#: Longer instances go by a digest, so that a row of the graph is short however long a token is.
+LONGEST_NAME = 200
 #: Groups of digits joined by single spaces, dots, hyphens, slashes or brackets, from the edge of a token or a label on.
 _DIGITS = r"[0-9]++(?![\w@])"
 GROUPS = re.compile(rf"(?<![^\s:=#(\[{{<\"'`,;])\+?\(?{_DIGITS}(?:(?:[\x20./-]|\)[\x20./-]?|[\x20./-]?\(){_DIGITS})++")
@@ -90,7 +93,8 @@ def instance(text: str, kind: int) -> str:
     """
     form = KINDS[kind] if kind >= 0 else "token"
     number = not re.search(r"[^\W\d_]|@", text) and not re.fullmatch(r"[0-9]+(?:\.[0-9]+)+", text)
-    return f"{form} {'+' * text.startswith('+') + DIGITS.sub('', text) if number else ' '.join(text.lower().split())}"
+    name = "+" * text.startswith("+") + DIGITS.sub("", text) if number else " ".join(text.lower().split())
+    return f"{form} {name if len(name) <= LONGEST_NAME else hashlib.sha256(name.encode()).hexdigest()}"
 
 
 def wide(text: str) -> list[tuple[int, int]]:
@@ -119,10 +123,12 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     found += [(a, z, -1) for a, z in slots]
     whole, slot_starts = set(slots), [a for a, _ in slots]
     for m in TOKEN.finditer(text):
+        if "@" not in m[0] and len(DIGITS.sub("", m[0])) < 4:
+            continue
         own = m[0].strip(EDGE)
         a = m.start() + (len(m[0]) - len(m[0].lstrip(EDGE)))
         z = a + len(own)
-        if "@" not in own and sum(c in "0123456789" for c in own) < 4:
+        if "@" not in own and len(DIGITS.sub("", own)) < 4:
             continue
         if free(a, z) and (a, z) not in whole:
             found.append((a, z, -1))
@@ -172,15 +178,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(instance, kind, score) of instances without a base form, from edges (pattern, instance, kind or -1, slot), distinct.
+    """(pattern, kind, conf) of confident patterns, from edges (pattern, instance, kind or -1, slot), distinct.
 
     Instances with and without a base form never share a name, so that none leaves the search for another one's sake.
     A pattern's confidence in a kind: the number of its seeds by that of its instances plus one, where the readings of
-    one slot count once; it needs `min_seeds`
-    different seeds. A token's belief: 1 - product of (1 - confidence) over its patterns that are at MIN_CONFIDENCE at
-    least. A token of at least that belief is a seed of the rounds that follow, so that patterns which no base form has
-    count too; seeds only become more, and the rounds end when none is added. Each only aggregates and joins by pattern
-    or instance.
+    one slot count once; it needs `min_seeds` different seeds and MIN_CONFIDENCE. An instance that stands in a confident
+    pattern is a seed of the rounds that follow, for all its patterns, so that patterns which no base form has count too;
+    seeds only become more, and the rounds end when none is added. Each only aggregates and joins by pattern or instance.
     """
     # A pattern with fewer instances can never have enough seeds.
     sizes = cut(edges.groupBy("pattern").agg(F.countDistinct("slot").alias("size")).where(F.col("size") >= min_seeds), "pii-sizes")
@@ -192,25 +196,29 @@ def confident(edges: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
         if accepted is not None:
             more = seeds.unionByName(open_.join(accepted, "instance").groupBy("pattern", "kind").agg(F.countDistinct("slot").alias("seeds"))).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"))
         patterns = more.where(F.col("seeds") >= min_seeds).join(sizes, "pattern").withColumn("conf", F.col("seeds") / (F.col("size") + 1)).where(F.col("conf") >= MIN_CONFIDENCE)
-        beliefs = open_.select("pattern", "instance").distinct().join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
-        accepted = cut(beliefs, "pii-accepted")  # each has a pattern of MIN_CONFIDENCE
+        patterns = cut(patterns.select("pattern", "kind", "conf"), "pii-patterns")
+        accepted = cut(open_.join(patterns, "pattern").select("instance", "kind").distinct(), "pii-accepted")
         before, known = known, accepted.count()
         if known == before:
-            return accepted.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
+            return patterns
 
 
 def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id, base and spans: arrays of (start, kind number, end) in order, for each row of docs.
 
-    Null and empty texts have none. Base spans always stay; the method's have the kind of their patterns. Equal rows get
-    equal spans; null ids are kept.
+    Null and empty texts have none; whole texts are read, in time that grows with their length. Base spans always stay;
+    the method's have the kind of the patterns around them (ties: the kind that stands first). Equal rows get equal spans;
+    null ids are kept; other columns are ignored.
     """
     found = scan(docs, key, text)
     long = found.select("row", F.explode("m").alias("m")).select("row", "m.*")
     edges = cut(long.select(F.explode("p").alias("pattern"), F.col("i").alias("instance"), F.col("k").alias("kind"), F.col("w").alias("slot")).distinct(), "pii-edges")
     good = confident(edges)
-    # A token needs one of its patterns among the confident ones: those are what made its instance confident.
-    found_ = long.where("k < 0").join(good, long["i"] == good["instance"]).withColumn("inner", F.col("i") != F.col("w"))
+    # Each mention is judged by its own patterns: an equal one elsewhere, in no confident pattern, stays as it is.
+    places = long.where("k < 0").select("row", "a", "z", "b", (F.col("i") != F.col("w")).alias("inner"), F.explode(F.array_distinct("p")).alias("pattern"))
+    belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))
+    by_kind = places.join(good, "pattern").groupBy("row", "a", "z", "b", "inner", "kind").agg(belief.alias("score"))
+    found_ = by_kind.groupBy("row", "a", "z", "b", "inner").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
     # Of the readings of one slot the one with spaces stays, or those within it if one of them has a higher score.
     best = lambda inner: F.coalesce(F.max(F.when(F.col("inner") == inner, F.col("score"))).over(Window.partitionBy("row", "b")), F.lit(-1.0))
     kept = found_.withColumns({"whole": best(False), "part": best(True)}).where(F.col("inner") == (F.col("part") > F.col("whole")))

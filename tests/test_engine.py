@@ -267,3 +267,92 @@ def test_json_and_streaming(spark, tmp_path):
     q = newest.writeStream.format("memory").queryName("newest").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.awaitTermination(120)
     assert [r["id"] for r in spark.table("newest").collect()] == [ident(2)]
+
+
+def test_store_appends_prunes_and_compacts(spark, tmp_path):
+    from tidelog.sources.segments import Segments
+
+    store = open_store(spark, str(tmp_path / "s"), clock=lambda: 1000, buckets=4)
+    people = [f"{i:064x}" for i in range(12)]
+    first = store.insert(frame(spark, [event(i, 0, people[i], 10, content=json.dumps({"name": f"marta{i}"})) for i in range(12)], seq=True))
+    for turn in range(1, 12):
+        out = store.insert(frame(spark, [event(100 + turn, 0, people[0], 10 + turn, content='{"name": "quintela"}'), event(200 + turn, 1, people[0], 5)], seq=True))
+        assert {r["reason"] for r in out.collect()} == {None}
+    assert first.count() == 12  # outcomes outlive later writes
+    m = store.state.manifest()
+    count = [sum(s[1] == b for s in m["rows"] + m["gone"]) for b in range(4)]
+    busy = store.state.bucket_numbers([people[0]])[0]
+    assert max(count) <= Segments.MOST and all(n <= 1 for b, n in enumerate(count) if b != busy)
+    assert store.events().count() == 12 + 11 and store.get(ident(111))["content"] == '{"name": "quintela"}' and store.get(ident(0)) is None
+    plan = store.query(EventQuery(owners=[people[0]], kinds=[1], not_expired_at=1000))
+    assert plan.count() == 11
+    files = [f for f in plan.inputFiles() if "/rows/" in f]
+    assert files and all(f"bucket={busy}/" in f for f in files)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    text = plan._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert any("GreaterThan(expires_at" in x and "owner" in x for x in text.split("PushedFilters")[1:])
+    found = store.query(EventQuery(), search="quintela")
+    assert [int(r["id"], 16) for r in found.collect()] == [111]
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_reindex_put_and_reputation(spark, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"), clock=lambda: 1000, buckets=4)
+    store.insert(frame(spark, [event(i, 1, f"{i:064x}", content=f"word{i}") for i in range(8)], seq=True))
+    assert store.reindex() == (0, None)
+    broken = store.events().withColumn("folded", F.col("folded").withField("search_text", F.lit(" lost ")))
+    store.state.replace(broken.where(F.col("owner") < f"{4:064x}").unionByName(store.events().where(F.col("owner") >= f"{4:064x}")), range(4))
+    assert store.count(EventQuery(), '"word1"') == 0
+    total, at = 0, 0
+    while at is not None:
+        n, at = store.reindex(at, 1)
+        total += n
+    assert total == 4 and store.count(EventQuery(), '"word1"') == 1
+    e = dict(zip(EVENT.names, event(50, 30023, at=5, tags=[["d", "x"]]), strict=True))
+    assert store.put_if_newer(e) and not store.put_if_newer(e | {"id": ident(51), "created_at": 4}) and store.put_if_newer(e | {"id": ident(52), "created_at": 6})
+    assert store.get(ident(50)) is None and store.get(ident(52)) is not None
+    service, subject = "d" * 64, "c" * 64
+    trusted = frame(spark, [event(60, 10040, A, 1, [["30382:rank", service, "r"]]), event(61, 30382, service, 10, [["d", subject], ["rank", "8"]])], seq=True)
+    store.insert(trusted)
+    assert store.pending_trust() == 1 and store.drain_trust() == 1 and store.pending_trust() == 0
+    newer = frame(spark, [event(62, 30382, service, 11, [["d", subject], ["rank", "9"]])], seq=True)
+    store.insert(newer)
+    store.await_trust()
+    assert [tuple(r) for r in store.reputation_of(subject).collect()] == [(A, 9, None)]
+    pages: list = []
+    assert store.visit_subjects(pages.append) == 1 and pages == [[subject]]
+    assert store.verify_trust().count() == 0
+    store.delete(EventQuery(ids=[ident(62)]))  # what is taken away touches the view as well
+    store.await_trust()
+    assert store.reputation_of(subject).count() == 0 and store.verify_trust().count() == 0
+
+
+def test_streamed_deletions_and_trust(spark, tmp_path):
+    from tidelog.streaming import ingest
+
+    def serve(name, rows):
+        sources.to_json(frame(spark, rows)).coalesce(1).write.mode("append").text(str(tmp_path / name))
+        return sources.from_json(spark.readStream.text(str(tmp_path / name)))
+
+    x = [["d", "x"]]
+    rows = [event(1, 30023, at=5, tags=x), event(2, 5, at=7, tags=[["a", f"30023:{A}:x"]]), event(3, 30023, at=6, tags=x), event(4, 30023, B, 5, x), event(5, 5, at=9, tags=[["a", f"30023:{B}:x"]])]
+    seen: dict = {}
+
+    def keep(batch, _):
+        seen.update({r["address"]: r["id"] for r in batch.collect()})
+
+    for part in (rows[1:2], rows[:1], rows[2:]):  # the deletion comes before what it deletes
+        stream = ingest.newest_versions(serve("versions", part))
+        stream.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "v")).start().awaitTermination(120)
+    assert {k: v for k, v in seen.items() if v} == {f"30023:{B}:x": ident(4)}
+    stream = ingest.newest_versions(serve("versions", [event(6, 30023, at=8, tags=x)]))
+    stream.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "v")).start().awaitTermination(120)
+    assert seen[f"30023:{A}:x"] == ident(6)
+
+    store = open_store(spark, str(tmp_path / "store"), clock=lambda: 1000, buckets=4)
+    service, subject = "d" * 64, "c" * 64
+    log = [event(10, 10040, A, 1, [["30382:rank", service, "r"]]), event(11, 30382, service, 10, [["d", subject], ["rank", "8"]]), event(12, 30382, service, 9, [["d", subject], ["rank", "3"]])]
+    ingest.into_store(serve("log", log), store, str(tmp_path / "cp")).awaitTermination(200)
+    assert [tuple(r) for r in store.reputation_of(subject).collect()] == [(A, 8, None)] and store.pending_trust() == 0
+    assert store.get(ident(12)) is None  # the newest card of its address stays

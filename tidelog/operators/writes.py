@@ -17,6 +17,8 @@ from .recall import rows
 
 #: Reasons of rejection.
 EXPIRED, DUPLICATE, DELETED, VANISHED, REPLACED, UNSTORABLE = "expired", "duplicate", "deleted", "vanished", "replaced", "unstorable text"
+#: Of an event whose write failed for other reasons; insert() raises then and has stored nothing.
+INSERT_FAILED = "insert failed"
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -152,6 +154,8 @@ def admit_mixed(batch: DataFrame, stored: DataFrame, now: int, relay: str | None
     One task holds one owner's events at a time; the rules allow no coarser and need no finer key.
     """
     columns = ["id", "pubkey", "created_at", "kind", "tags", "owner", "address", "expires_at"]
+    # No rule looks at other owners' events.
+    stored = stored.join(batch.select("owner").distinct(), "owner", "left_semi")
     both = stored.select(*columns, F.lit(True).alias("storable"), F.lit(None).cast("long").alias("seq")).unionByName(batch.select(*columns, storable().alias("storable"), "seq"))
 
     def replay(g: pd.DataFrame) -> pd.DataFrame:

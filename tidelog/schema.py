@@ -23,14 +23,3 @@ SEARCH_FIELDS = ("name", "display_name", "about", "nip05", "lud16", "website", "
 NEAR_FIELDS = ("name_near", "search_primary_near", "search_secondary_tokens", "affil_tokens")
 REPUTATION = T.StructType([T.StructField("subject", T.StringType()), T.StructField("observer", T.StringType()), T.StructField("influence", T.IntegerType()), T.StructField("followers", T.FloatType())])
 
-
-def replaceable(kind: int) -> bool:
-    return kind in (0, 3) or 10_000 <= kind < 20_000
-
-
-def ephemeral(kind: int) -> bool:
-    return 20_000 <= kind < 30_000
-
-
-def addressable(kind: int) -> bool:
-    return 30_000 <= kind < 40_000

@@ -34,12 +34,29 @@ def test_language(spark):
 
 
 def test_many_languages_fill_several_slices():
-    counts = {f"l{i:03}": {1000 * i + j: 10 for j in range(1, 50)} for i in range(70)}
-    m = langid.build(counts, dict.fromkeys(counts, 5))
-    assert m.table.shape[1] == 2
+    import pyarrow as pa
+
+    pairs = [(1000 * i + j, i) for i in range(70) for j in range(1, 50)]
+    batch = pa.RecordBatch.from_pydict({"g": [g for g, _ in pairs], "i": [i for _, i in pairs]}, pa.schema([("g", pa.int64()), ("i", pa.int64())]))
+    m = langid.build([f"l{i:03}" for i in range(70)], 16, langid.slot_rows(16, langid.slot_width(70))([batch]))
+    assert m.table.shape == (1 << 16, 2) and m.bits == 16
     for i in (0, 63, 64, 69):
-        masks = m.table[langid.slots(np.array([1000 * i + 7], np.uint32), 0), i // 64]
-        assert masks[0] >> np.uint64(i % 64) & np.uint64(1)
+        for k in range(len(langid.SEEDS)):
+            masks = m.table[langid.slots(np.array([1000 * i + 7], np.uint32), k, 16), i // 64]
+            assert masks[0] >> np.uint64(i % 64) & np.uint64(1)
+
+
+def test_filters_grow_with_the_n_grams(spark):
+    """Every n-gram of a language is in its filter, however many it has."""
+    rng = random.Random(9)
+    grams = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(60_000)]
+    docs = spark.createDataFrame([(0, " ".join(grams), "x"), (1, "ΑΒΓΔ ЖИЗНЬ", "y")], "doc_id long, text string, lang string")
+    m = langid.fit(docs)
+    assert m.langs == ["x", "y"] and langid.SLOT_BITS[0] < m.bits <= langid.SLOT_BITS[1]
+    import pyarrow as pa
+
+    names, scores, _ = m.predict(pa.array([grams[59_999], grams[0], "αβγδ", "жизнь"]))
+    assert names == ["x", "x", "y", "y"] and min(scores) > 0.9
 
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")

@@ -87,10 +87,11 @@ def search_columns(events: DataFrame) -> DataFrame:
 
     Profiles (kind 0) read their JSON content. Other kinds fill tiers: title-like tags are primary; summaries and
     hashtags (as one line) secondary; content is text; locations and geohash names are joined by spaces; r tags of
-    bookmarks are websites. Empty and absent are both null.
+    bookmarks are websites. Application handlers (kind 31990) hold a profile's JSON, whose names are primary and whose
+    description is secondary. Empty and absent are both null.
     """
     content = F.from_json("content", "name string, display_name string, about string, nip05 string, lud16 string, website string")
-    profile = F.col("kind") == 0
+    profile, handler = F.col("kind") == 0, F.col("kind") == 31_990
     lines = lambda *names: F.array_join(F.array_compact(F.flatten(F.array(*[F.transform(_values(n), sanitize) for n in names]))), "\n")
     hashtags = sanitize(F.array_join(_values("t"), " "))
     textual = ~profile & ~F.col("kind").isin(5, 6, 7, 62, 1059, 10_002)
@@ -98,10 +99,10 @@ def search_columns(events: DataFrame) -> DataFrame:
     return events.withColumns(
         {f: F.when(profile, sanitize(content[f])) for f in ("name", "display_name", "about", "nip05", "lud16")}
         | {
-            "website": F.when(profile, sanitize(content["website"])).otherwise(tiered(F.when(F.col("kind") == 39_701, lines("r")))),
-            "search_primary": tiered(lines("title", "name", "subject")),
-            "search_secondary": tiered(F.concat_ws("\n", sanitize(lines("summary", "alt")), hashtags)),
-            "search_text": tiered(F.col("content")),
+            "website": F.when(profile, sanitize(content["website"])).otherwise(tiered(F.when(F.col("kind") == 39_701, lines("r")).when(handler, content["website"]))),
+            "search_primary": tiered(F.concat_ws("\n", *[F.when(handler, sanitize(content[c])) for c in ("name", "display_name")], sanitize(lines("title", "name", "subject")))),
+            "search_secondary": tiered(F.concat_ws("\n", F.when(handler, sanitize(content["about"])), sanitize(lines("summary", "alt")), hashtags)),
+            "search_text": tiered(F.when(~handler, F.col("content"))),
             "search_location": tiered(F.array_join(_values("location"), " ")),
         }
     )

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..plans.query import EventQuery
 from ..schema import SEARCH_FIELDS
-from .matching import FUZZY_FIELDS, GRAM_FIELDS_NAME, any_of, body_phrase, fuzzy_in, grams_in, in_field, prefix_in, spoken
+from .matching import FUZZY_FIELDS, GRAM_FIELDS_NAME, GRAM_FIELDS_TEXT, any_of, body_phrase, fuzzy_in, grams_in, in_field, prefix_in, spoken, trigrams
 
 #: Fixed values.
 WEIGHTS = {
     "name_tier": 130_000.0, "near_tier": 23_000.0, "weak_tier": 4_000.0, "affil_tier": 550.0, "near_tier_text": 700.0, "weak_tier_text": 620.0, "token_text": 1_100.0,
     "gram_cap": 80.0, "about": 0.1, "secondary": 0.4, "content": 0.15, "location": 0.3, "identity": 50.0, "proximity": 30.0, "words_pop": 3_000.0, "exactness_pop": 6_000.0,
-    "perfect_pop": 80_000.0, "order_floor": 0.5, "cutoff": 100.0, "wot": 1.0, "wot_pow": 2.7, "followers": 100_000.0,
+    "perfect_pop": 80_000.0, "gram": 2.0, "gram_short": 8.0, "order_floor": 0.5, "cutoff": 100.0, "wot": 1.0, "wot_pow": 2.7, "followers": 100_000.0,
 }
 POP_TIERS = {"name": 1e9, "near": 1e8, "weak": 3e7, "affiliation": 1e7, "body": 1e7}
 K1, B = 1.2, 0.75
@@ -44,9 +44,21 @@ def match_count(field: str, terms: list[str]) -> Column:
     return sum((in_field(field, w).cast("int") for w in terms), F.lit(0))
 
 
+def field_columns(terms: list[str]) -> dict[str, Column]:
+    """For each field how many of the words it has (_h_) and its number of words (_n_): what all terms below are made of.
+
+    As columns of their own they are computed once, and the code that Spark generates stays within its bounds.
+    """
+    return {f"_h_{f}": match_count(f, terms) for f in SEARCH_FIELDS} | {f"_n_{f}": length_of(f) for f in SEARCH_FIELDS}
+
+
+def hits(field: str) -> Column:
+    return F.col(f"_h_{field}")
+
+
 def tier_columns(terms: list[str]) -> dict[str, Column]:
     """Mutually exclusive tiers, best first, and whether any word matches as a whole."""
-    hit = lambda f: match_count(f, terms) > 0
+    hit = lambda f: hits(f) > 0
     near = lambda f: any_of([prefix_in(f, w) for w in terms] + ([fuzzy_in(f, w) for w in terms] if f in FUZZY_FIELDS else []))
     name = hit("name") | hit("display_name")
     token = name | hit("search_primary")
@@ -56,11 +68,14 @@ def tier_columns(terms: list[str]) -> dict[str, Column]:
     direct = hit("about") | hit("website")
     weak = infix | hit("search_secondary") | near("search_secondary_tokens") | (~direct & near("affil_tokens")) | identity
     body = hit("search_text") | hit("search_location") | any_of([body_phrase(w) for w in terms])
+    return {"t_name": token, "_loose": loose, "_weak": weak, "t_identity": identity, "_direct": direct, "_body": body, "t_real": any_of([hit(f) for f in SEARCH_FIELDS])}
+
+
+def exclusive() -> dict[str, Column]:
+    """The tiers below the first, of the columns of tier_columns()."""
+    token, loose, weak = F.col("t_name"), F.col("_loose"), F.col("_weak")
     rest = ~token & ~loose & ~weak
-    return {
-        "t_name": token, "t_near": ~token & loose, "t_weak": ~token & ~loose & weak, "t_identity": identity, "t_affiliation": rest & direct, "t_body": rest & body,
-        "t_real": any_of([hit(f) for f in SEARCH_FIELDS]),
-    }
+    return {"t_near": ~token & loose, "t_weak": ~token & ~loose & weak, "t_affiliation": rest & F.col("_direct"), "t_body": rest & F.col("_body")}
 
 
 def tier_label() -> Column:
@@ -71,7 +86,8 @@ def tier_label() -> Column:
 
 @dataclass(frozen=True)
 class Stats:
-    """Corpus statistics of BM25 for the words of a query: rows with text and mean length of each field, and rows with each word."""
+    """Corpus statistics of BM25 for the words of a query: rows with text and mean length of each field, and rows with each
+    word; the same for trigrams, whose fields are named `field_gram`."""
 
     rows: dict[str, int]
     length: dict[str, float]
@@ -83,14 +99,33 @@ def length_of(field: str) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) - 1)
 
 
+def grams_of(field: str, terms: list[str]) -> list[str]:
+    """Trigrams by which the words of a query look into a field: from two of a word on in names, from three on in texts."""
+    least = 2 if field in GRAM_FIELDS_NAME else 3
+    return list(dict.fromkeys(g for w in terms if len(trigrams(w)) >= least for g in trigrams(w)))
+
+
+def gram_length(field: str) -> Column:
+    return F.greatest(F.coalesce(F.length(F.col(field)), F.lit(0)) - 2, F.lit(0))
+
+
 def statistics(events: DataFrame, terms: list[str]) -> Stats:
-    """One aggregation over the whole corpus; a few numbers for each field and word."""
+    """One aggregation over the whole corpus; a few numbers for each field, word and trigram."""
     pairs = [(f, w) for f in SEARCH_FIELDS for w in terms]
-    aggregates = [F.count(F.when(length_of(f) > 0, 1)).alias(f"n{i}") for i, f in enumerate(SEARCH_FIELDS)]
-    aggregates += [F.avg(F.when(length_of(f) > 0, length_of(f))).alias(f"l{i}") for i, f in enumerate(SEARCH_FIELDS)]
+    grams = [(f, g) for f in (*GRAM_FIELDS_NAME, *GRAM_FIELDS_TEXT) for g in grams_of(f, terms)]
+    lengths = {f: length_of(f) for f in SEARCH_FIELDS} | {f"{f}_gram": gram_length(f) for f in dict.fromkeys(f for f, _ in grams)}
+    aggregates = [F.count(F.when(n > 0, 1)).alias(f"n{i}") for i, n in enumerate(lengths.values())]
+    aggregates += [F.avg(F.when(n > 0, n)).alias(f"l{i}") for i, n in enumerate(lengths.values())]
     aggregates += [F.count(F.when(in_field(f, w), 1)).alias(f"d{i}") for i, (f, w) in enumerate(pairs)]
+    aggregates += [F.count(F.when(F.contains(F.lower(f), F.lit(g)), 1)).alias(f"g{i}") for i, (f, g) in enumerate(grams)]
     r = events.agg(*aggregates).first()
-    return Stats({f: r[f"n{i}"] for i, f in enumerate(SEARCH_FIELDS)}, {f: r[f"l{i}"] or 1.0 for i, f in enumerate(SEARCH_FIELDS)}, {p: r[f"d{i}"] for i, p in enumerate(pairs)})
+    df = {p: r[f"d{i}"] for i, p in enumerate(pairs)} | {(f"{f}_gram", g): r[f"g{i}"] for i, (f, g) in enumerate(grams)}
+    return Stats({f: r[f"n{i}"] for i, f in enumerate(lengths)}, {f: r[f"l{i}"] or 1.0 for i, f in enumerate(lengths)}, df)
+
+
+def _term(tf: Column, n: Column, field: str, df: int, s: Stats) -> Column:
+    idf = math.log(1 + (s.rows[field] - df + 0.5) / (df + 0.5))
+    return F.coalesce(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / s.length[field])), F.lit(0.0))
 
 
 def bm25(field: str, terms: list[str], s: Stats) -> Column:
@@ -99,37 +134,69 @@ def bm25(field: str, terms: list[str], s: Stats) -> Column:
         line = " ".join(words(w))
         if not line or not s.df[field, w]:
             continue
-        idf = math.log(1 + (s.rows[field] - s.df[field, w] + 0.5) / (s.df[field, w] + 0.5))
         # Words are framed by single spaces that neighbours share: doubling them lets every occurrence be counted.
         doubled = F.replace(text, F.lit(" "), F.lit("  "))
         frame = f" {line.replace(' ', '  ')} "
-        tf = (F.length(doubled) - F.length(F.replace(doubled, F.lit(frame), F.lit("")))) / len(frame)
-        total = total + F.coalesce(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length_of(field) / s.length[field])), F.lit(0.0))
+        total = total + _term((F.length(doubled) - F.length(F.replace(doubled, F.lit(frame), F.lit("")))) / len(frame), length_of(field), field, s.df[field, w], s)
     return total
 
 
-def _field_text(field: str, terms: list[str], s: Stats) -> Column:
-    n = length_of(field)
-    return 100 * match_count(field, terms) + F.when(n > 0, bm25(field, terms, s) / F.pow(F.greatest(n, F.lit(1)).cast("double"), F.lit(1.5))).otherwise(0.0)
+def gram_text(field: str, terms: list[str], s: Stats) -> Column:
+    """BM25 of the query's trigrams in a field, weighed (more where a word is too short for typos) and capped, so that it
+    only orders what matches inside a tier."""
+    low, total = F.lower(F.col(field)), F.lit(0.0)
+    for g in grams_of(field, terms):
+        if df := s.df[f"{field}_gram", g]:
+            total = total + _term((F.length(low) - F.length(F.replace(low, F.lit(g), F.lit("")))) / 3, gram_length(field), f"{field}_gram", df, s)
+    weight = WEIGHTS["gram_short" if min(map(len, terms), default=4) <= 3 else "gram"]
+    return F.least(weight * total, F.lit(WEIGHTS["gram_cap"]))
 
 
-def relevance(terms: list[str], s: Stats) -> Column:
+def proximity(terms: list[str]) -> Column:
+    """The share of the query's neighbouring words that are neighbours in a name-like field, of the best one; with one word,
+    whether it is there."""
+    pairs = [f"{a} {b}" for a, b in zip(terms[:-1], terms[1:], strict=True)] or terms
+    return F.greatest(*[match_count(f, pairs) for f in GRAM_FIELDS_NAME], F.lit(0)) / max(1, len(pairs))
+
+
+def text_columns(terms: list[str], s: Stats) -> dict[str, Column]:
+    """BM25 of each field (_b_), with the trigrams' part (_g_) where it has one."""
+    return {f"_b_{f}": bm25(f, terms, s) for f in SEARCH_FIELDS} | {f"_g_{f}": gram_text(f, terms, s) for f in (*GRAM_FIELDS_NAME, *GRAM_FIELDS_TEXT)}
+
+
+def _names() -> Column:
+    def text(f: str) -> Column:
+        n = F.col(f"_n_{f}")
+        return 100 * hits(f) + F.when(n > 0, F.col(f"_b_{f}") * F.pow(F.greatest(n, F.lit(1)).cast("double"), F.lit(-1.5))).otherwise(0.0) + F.col(f"_g_{f}")
+
+    return F.greatest(text("name"), text("display_name")) + text("search_primary")
+
+
+def _others() -> Column:
+    """Secondary, body and location; what a profile says of itself only where nothing better matched."""
+    w, b = WEIGHTS, lambda f: F.col(f"_b_{f}")
+    quiet = F.when(F.col("t_name") | F.col("t_near") | F.col("t_weak"), 0.0).otherwise(w["about"])
+    return w["secondary"] * (b("search_secondary") + F.col("_g_search_secondary")) + w["content"] * b("search_text") + w["location"] * b("search_location") + quiet * (b("about") + F.col("_g_about"))
+
+
+def relevance(terms: list[str]) -> Column:
     w = WEIGHTS
     num = lambda c: F.col(c).cast("double")
     tiers = num("t_name") * w["token_text"] + num("t_near") * w["near_tier_text"] + num("t_weak") * w["weak_tier_text"] + F.greatest(num("t_affiliation"), num("t_body")) * w["affil_tier"]
-    texts = F.greatest(_field_text("name", terms, s), _field_text("display_name", terms, s)) + _field_text("search_primary", terms, s)
-    quiet = F.when(F.col("t_name") | F.col("t_near") | F.col("t_weak"), 0.0).otherwise(1.0)
-    return tiers + texts + w["secondary"] * bm25("search_secondary", terms, s) + w["content"] * bm25("search_text", terms, s) + w["location"] * bm25("search_location", terms, s) + quiet * w["about"] * bm25("about", terms, s)
+    return tiers + _names() + w["proximity"] * proximity(terms) + _others()
 
 
-def text_score(terms: list[str], s: Stats) -> Column:
+def text_score() -> Column:
     w = WEIGHTS
     num = lambda c: F.col(c).cast("double")
-    names = F.greatest(_field_text("name", terms, s), _field_text("display_name", terms, s)) + _field_text("search_primary", terms, s)
-    total = num("t_name") * w["name_tier"] + num("t_near") * w["near_tier"] + num("t_weak") * w["weak_tier"] + F.greatest(num("t_affiliation"), num("t_body")) * w["affil_tier"] + names
-    total = total + w["identity"] * (bm25("nip05", terms, s) + bm25("lud16", terms, s)) + w["secondary"] * bm25("search_secondary", terms, s) + w["content"] * bm25("search_text", terms, s) + w["location"] * bm25("search_location", terms, s)
-    # A whole-word match never scores below the cutoff; anything else below it is nothing.
-    return F.when(F.col("t_real"), F.greatest(total, F.lit(w["cutoff"]))).when(total < w["cutoff"], 0.0).otherwise(total)
+    total = num("t_name") * w["name_tier"] + num("t_near") * w["near_tier"] + num("t_weak") * w["weak_tier"] + F.greatest(num("t_affiliation"), num("t_body")) * w["affil_tier"] + _names()
+    return total + w["identity"] * (F.col("_b_nip05") + F.col("_b_lud16")) + _others()
+
+
+def floored(total: Column) -> Column:
+    """A whole-word match never scores below the cutoff; anything else below it is nothing."""
+    cutoff = WEIGHTS["cutoff"]
+    return F.when(F.col("t_real"), F.greatest(total, F.lit(cutoff))).when(total < cutoff, 0.0).otherwise(total)
 
 
 def precision(terms: list[str]) -> Column:
@@ -137,10 +204,10 @@ def precision(terms: list[str]) -> Column:
     n, line = len(terms), " ".join(x for w in terms for x in words(w))
     parts = []
     for f in ("name", "display_name", "search_primary"):
-        hits, size = match_count(f, terms), length_of(f)
-        field_share = F.when(size > 0, F.least(hits / F.greatest(size, F.lit(1)), F.lit(1.0))).otherwise(0.0)
+        own, size = hits(f), F.col(f"_n_{f}")
+        field_share = F.when(size > 0, F.least(own / F.greatest(size, F.lit(1)), F.lit(1.0))).otherwise(0.0)
         order = F.when(F.contains(F.col(f"folded.{f}"), F.lit(f" {line} ")), 1.0).otherwise(WEIGHTS["order_floor"]) if n > 1 else F.lit(1.0)
-        parts.append((hits / n, field_share, F.least(hits / n, F.lit(1.0)) * field_share * F.coalesce(order, F.lit(WEIGHTS["order_floor"]))))
+        parts.append((own / n, field_share, F.least(own / n, F.lit(1.0)) * field_share * F.coalesce(order, F.lit(WEIGHTS["order_floor"]))))
     best = [F.greatest(*[F.coalesce(p[i], F.lit(0.0)) for p in parts]) for i in range(3)]
     return WEIGHTS["words_pop"] * best[0] + WEIGHTS["exactness_pop"] * best[1] + WEIGHTS["perfect_pop"] * best[2]
 
@@ -167,16 +234,23 @@ def scored(rows: DataFrame, corpus: DataFrame, q: EventQuery, reputation: DataFr
     if profile in ("recency", "recency_gated"):
         kept = rows.where(F.col("user_score") >= floor) if profile == "recency_gated" else rows
         return kept.withColumns({"score": F.col("created_at").cast("double"), "tier": F.lit(None).cast("string")})
-    rows = rows.withColumns(tier_columns(terms) if terms else {f"t_{t}": F.lit(False) for t in ("name", "near", "weak", "identity", "affiliation", "body", "real")})
+    none = {f"t_{t}": F.lit(False) for t in ("name", "near", "weak", "identity", "affiliation", "body", "real")}
+    rows = rows.withColumns(field_columns(terms)).withColumns(tier_columns(terms)).withColumns(exclusive()) if terms else rows.withColumns(none)
     tier = tier_label() if terms else F.lit(None).cast("string")
     if profile in ("rank_desc", "rank_asc", "sort_followers"):
         key = {"rank_desc": F.col("user_score"), "rank_asc": -F.col("user_score"), "sort_followers": WEIGHTS["followers"] * F.log1p(F.greatest(F.col("verified_followers"), F.lit(0.0)))}[profile]
-        return rows.where(F.col("user_score") >= floor).withColumns({"score": population_tier() + key, "tier": tier})
-    stats = statistics(corpus, terms)
+        return _plain(rows.where(F.col("user_score") >= floor).withColumns({"score": population_tier() + key, "tier": tier}))
+    rows = rows.withColumns(text_columns(terms, statistics(corpus, terms)))
     if profile == "text":
         kept = rows.where(F.col("user_score") >= floor) if q.observer and q.min_rank is not None else rows
-        return kept.withColumns({"score": relevance(terms, stats), "tier": tier})
-    first = rows.withColumns({"score": text_score(terms, stats) * trust_multiplier(floor), "tier": tier}).where(F.col("score") > DROP)
+        return _plain(kept.withColumns({"score": relevance(terms), "tier": tier}))
+    # The row number keeps the optimizer from copying the long expressions into the filter, once for each use.
+    rows = rows.withColumns({"_total": text_score(), "_row": F.monotonically_increasing_id()}).withColumns({"score": floored(F.col("_total")) * trust_multiplier(floor), "tier": tier})
+    first = rows.where((F.col("score") > DROP) & (F.col("_row") >= 0))
     best = first.orderBy(F.desc("score"), F.desc("created_at"), "id").limit(RERANK)
     rest = first.join(best.select("id"), "id", "left_anti")
-    return best.withColumn("score", F.col("score") + precision(terms) * trust_multiplier(floor)).unionByName(rest)
+    return _plain(best.withColumn("score", F.col("score") + precision(terms) * trust_multiplier(floor))).unionByName(_plain(rest))
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.drop(*[c for c in rows.columns if c.startswith("_")])

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.derive import derive
+from ..functions.derive import derive, search_columns
 from ..operators import recall, trust, writes
+from ..schema import NEVER, VANISH
 from ..sources import tables
 from ..sources.tables import DUCK_HEX, DUCK_KEY, EV_SQL, TRUST_SQL
+from ..store import open_store
 from . import grammar
 from .query import EventQuery
 
@@ -41,6 +47,36 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(tables.ev(spark, sf_dir))
 
 
+#: Folders that queries wrote; they go when the driver ends.
+_written: list[str] = []
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder where the cluster shares one; in one process a temporary one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _written.append(f"{(shared or tempfile.mkdtemp()).rstrip('/')}/tidelog-store-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+@atexit.register
+def _forget() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        with contextlib.suppress(Exception):  # the JVM may be gone by now
+            for name in _written:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(events: DataFrame) -> DataFrame:
+    """Events as a store keeps them: everything that a search reads is derived once, when they are written."""
+    rows, path = tables.indexed(events), scratch_path(events.sparkSession)
+    rows.write.parquet(path)
+    return events.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 CORE = "id, pubkey, created_at, kind, content"
 core = lambda df: df.select("id", "pubkey", "created_at", "kind", "content")
 ORDER = "ORDER BY created_at DESC, id"
@@ -313,7 +349,7 @@ CHAT_SQL = f"chat AS (SELECT {DUCK_KEY.format('(conv_id * 1000 + turn)', '2')} A
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.indexed(tables.chat(spark, sf_dir))
+    return kept(tables.chat(spark, sf_dir))
 
 
 @add("search_phrase", "SELECT id, created_at FROM chat WHERE contains(folded, ' the ') AND contains(folded, ' of the ')", CHAT_SQL)
@@ -334,31 +370,145 @@ PROFILE_SQL = "profiles AS (SELECT 'a' || lpad(lower(to_hex(c_custkey)), 63, '0'
 @add("search_prefix_of_name", "SELECT id, 'near' AS tier FROM profiles WHERE starts_with(name, 'suppli')", PROFILE_SQL)
 def _(spark, d):
     q = grammar.apply(EventQuery(kinds=[0]), "suppli sort:text")
-    return recall.recall(tables.indexed(tables.profiles(spark, d)), q).where("tier = 'near'").select("id", "tier")
+    return recall.recall(kept(tables.profiles(spark, d)), q).where("tier = 'near'").select("id", "tier")
 
 
 @add("search_typo_in_name", "SELECT id FROM profiles WHERE starts_with(name, 'custo')", PROFILE_SQL)
 def _(spark, d):
-    return recall.rows(tables.indexed(tables.profiles(spark, d)), grammar.apply(EventQuery(kinds=[0]), "custumer")).select("id")
+    return recall.rows(kept(tables.profiles(spark, d)), grammar.apply(EventQuery(kinds=[0]), "custumer")).select("id")
+
+
+#: Titles and addresses of pages, whether they have the word or one that begins with it, and BM25 of the titles.
+BOOKMARK_SQL = f"""b AS (SELECT {DUCK_KEY.format('page_id', '3')} AS id, 1670000000 + page_id AS made,
+  regexp_extract_all(lower(strip_accents(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))), '[\\p{{L}}\\p{{N}}]+') AS t, regexp_extract_all(lower(strip_accents(url)), '[\\p{{L}}\\p{{N}}]+') AS u FROM pages),
+m AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x = 'the')) AS tf, len(list_filter(t, lambda x: starts_with(x, 'the'))) > 0 AS close,
+  list_contains(u, 'the') AS direct, len(list_filter(u, lambda x: starts_with(x, 'the'))) > 0 AS beside FROM b),
+stat AS (SELECT count(*) FILTER (n > 0)::DOUBLE AS rows, avg(n) FILTER (n > 0) AS mean, count(*) FILTER (tf > 0) AS df FROM m),
+tiers AS (SELECT id, made, CASE WHEN tf > 0 THEN 'name' WHEN close THEN 'near' WHEN beside AND NOT direct THEN 'weak' ELSE 'affiliation' END AS tier,
+  ln(1 + (rows - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) / pow(greatest(n, 1), 1.5) AS text FROM m, stat WHERE close OR direct OR beside)"""
 
 
-@add("search_scored_bookmarks")
+@add("search_scored_bookmarks", "SELECT id, tier, round(score, 6) AS score FROM (SELECT *, CASE tier WHEN 'name' THEN 1100 + 100 + 30 + text WHEN 'near' THEN 700 WHEN 'weak' THEN 620 ELSE 550 END::DOUBLE AS score FROM tiers) ORDER BY score DESC, made DESC, id LIMIT 100", BOOKMARK_SQL)
 def _(spark, d):
     q = grammar.apply(EventQuery(limit=100), "the")
-    return recall.recall(tables.indexed(tables.bookmarks(spark, d)), q).select("id", "tier", F.round("score", 6).alias("score"))
+    return recall.recall(kept(tables.bookmarks(spark, d)), q).select("id", "tier", F.round("score", 6).alias("score"))
 
 
 @add("search_scored_articles")
 def _(spark, d):
     q = grammar.apply(EventQuery(kinds=[30023], limit=50), "license version", observer=key(3, "e"))
-    return recall.recall(tables.indexed(tables.docs(spark, d)), EventQuery(kinds=[30023], limit=50, search=q.search, observer=q.observer, min_rank=0.0)).select("id", "tier", F.round("score", 4).alias("score"))
+    return recall.recall(kept(tables.docs(spark, d)), EventQuery(kinds=[30023], limit=50, search=q.search, observer=q.observer, min_rank=0.0)).select("id", "tier", F.round("score", 4).alias("score"))
 
 
-@add("compaction")
+#: The state that a log without order stands for: unexpired events that no deletion among them erases, newest versions.
+LIVE_SQL = f"""{EV_SQL.strip()}, live AS (SELECT * FROM ev WHERE expires_at > {T1}),
+names AS (SELECT pubkey AS o, created_at AS since, t[1] AS what, t[2] AS target FROM (SELECT pubkey, created_at, unnest(tags) AS t FROM live WHERE kind = 5)),
+left_over AS (SELECT * FROM live WHERE kind = 5 OR NOT (
+  EXISTS (SELECT 1 FROM names WHERE what = 'e' AND o = owner AND target = id)
+  OR EXISTS (SELECT 1 FROM names WHERE what = 'a' AND o = owner AND o = pubkey AND target = address AND since >= created_at)))"""
+
+
+@add("compaction", f"SELECT {CORE} FROM left_over WHERE address IS NULL UNION ALL SELECT {CORE} FROM (SELECT * FROM left_over WHERE address IS NOT NULL QUALIFY row_number() OVER (PARTITION BY address ORDER BY created_at DESC, id) = 1)", LIVE_SQL)
 def _(spark, d):
     return core(writes.compact(tables.ev(spark, d), T1))
 
 
+@add("store_after_two_inserts", LATEST_SQL.format(CORE).replace("FROM ev", f"FROM (SELECT * FROM ev WHERE kind <> 5 AND expires_at > {T1})"))
+def _(spark, d):
+    """Two batches into an empty store: what it holds is the newest unexpired version of each address, and all other events."""
+    store = open_store(spark, scratch_path(spark), clock=lambda: T1, buckets=8)
+    e = tables.ev(spark, d).where("kind != 5").withColumn("seq", F.conv(F.right("id", F.lit(12)), 16, 10).cast("long"))
+    for part in (F.col("seq") % 3 == 0, F.col("seq") % 3 != 0):
+        store.insert(e.where(part))
+    return core(store.events())
+
+
+@add("store_after_deletes", f"SELECT {CORE} FROM ev WHERE kind IN (1, 7) AND expires_at > {T1} AND NOT (kind = 7 AND created_at <= {T1} - 500000)")
+def _(spark, d):
+    store = open_store(spark, scratch_path(spark), clock=lambda: T1 - 1_000_000, buckets=8)
+    store.insert(tables.ev(spark, d).where("kind in (1, 7)").withColumn("seq", F.conv(F.right("id", F.lit(12)), 16, 10).cast("long")))
+    store.delete(EventQuery(kinds=[7], until=T1 - 500_000))
+    store.clock = lambda: T1
+    store.expire()
+    return core(store.events())
+
+
+WRAP_TAGS = "list_filter(tags, lambda t: t[1] = 'p')[1][2]"
+
+
+@add("gift_wrap_owner", f"SELECT id, CASE WHEN kind = 7 THEN {WRAP_TAGS} ELSE pubkey END AS owner FROM ev WHERE kind IN (1, 7)")
+def _(spark, d):
+    """Reactions as gift wraps: their recipient owns them."""
+    e = tables.ev(spark, d).where("kind in (1, 7)").withColumn("kind", F.expr("case when kind = 7 then 1059 else kind end"))
+    return derive(e).select("id", "owner")
+
+
+@add("vanish_guard", "SELECT id, CASE WHEN until >= created_at THEN 'vanished' END AS blocked FROM ev LEFT JOIN requests ON o = owner WHERE kind NOT IN (5)", f"{EV_SQL.strip()}, {VANISH_SQL}")
+def _(spark, d):
+    """Events that come after a vanish request of their owner was stored."""
+    stored = vanishing(spark, d).where(f"kind = {VANISH}")
+    return writes.blocked(ev(spark, d).where("kind != 5"), stored, "wss://b").select("id", "blocked")
+
+
+@add("expiry_of_events", "SELECT id, CASE WHEN expires_at = 9223372036854775807 THEN NULL ELSE expires_at END AS expires_at, tag_index[1] AS first_tag FROM ev")
+def _(spark, d):
+    return ev(spark, d).select("id", F.nullif("expires_at", F.lit(NEVER)).alias("expires_at"), F.get("tag_index", F.lit(0)).alias("first_tag"))
+
+
+@add("search_negation_only", "SELECT id, created_at FROM chat WHERE NOT contains(folded, ' that ') AND NOT contains(folded, ' of the ')", CHAT_SQL)
+def _(spark, d):
+    return recall.rows(chat(spark, d), grammar.apply(EventQuery(), '-that -"of the"')).select("id", "created_at")
+
+
+@add("merge_of_ranked_filters", "SELECT id, max(score) AS score FROM ((SELECT id, score::DOUBLE AS score FROM seen WHERE score >= 2 AND kind = 1 ORDER BY score DESC, created_at DESC, id LIMIT 80) UNION ALL (SELECT id, score::DOUBLE AS score FROM seen WHERE score >= 2 AND kind IN (1, 7) ORDER BY score DESC, created_at DESC, id LIMIT 60)) GROUP BY id", GATED)
+def _(spark, d):
+    string = f"sort:rank observer:{key(3, 'e')}"
+    filters = [grammar.apply(EventQuery(kinds=[1], limit=80), string), grammar.apply(EventQuery(kinds=[1, 7], limit=60), string)]
+    return recall.query(ev(spark, d), filters, trust.reputation(trusted(spark, d))).select("id", "score")
+
+
+@add("merge_of_mixed_profiles", f"""SELECT id, i FROM (SELECT id, 0 AS i FROM (SELECT id FROM seen WHERE score >= 2 AND kind = 1 ORDER BY score DESC, created_at DESC, id LIMIT 40)
+  UNION ALL SELECT id, 1 FROM (SELECT id FROM ev WHERE kind IN (1, 7) {ORDER} LIMIT 50)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1""", GATED)
+def _(spark, d):
+    """Which run each event came from: the ranked one goes first."""
+    filters = [grammar.apply(EventQuery(kinds=[1], limit=40), f"sort:rank observer:{key(3, 'e')}"), EventQuery(kinds=[1, 7], limit=50)]
+    out = recall.query(ev(spark, d), filters, trust.reputation(trusted(spark, d)))
+    return out.select("id", F.col("score").isNull().cast("int").alias("i"))
+
+
+@add("search_columns_of_articles", f"SELECT {DUCK_KEY.format('doc_id', '1')} AS id, nullif(trim(string_split(text, chr(10))[1], ' '), '') AS search_primary, lang AS search_secondary, length(trim(text, ' ')) AS n FROM documents", "one AS (SELECT 1)")
+def _(spark, d):
+    return search_columns(derive(tables.docs(spark, d))).select("id", "search_primary", "search_secondary", F.length("search_text").cast("long").alias("n"))
+
+
+@add("name_parts", "SELECT id, regexp_extract_all(name, '[a-z0-9]+') AS parts, [name, replace(name, '#', '')] AS tokens FROM profiles", PROFILE_SQL)
+def _(spark, d):
+    """The near column of names: pieces at separators, then the whole name as it is and without signs."""
+    near = kept(tables.profiles(spark, d)).select("id", F.col("near.name_near").alias("n"))
+    return near.select("id", F.slice("n", 1, 2).alias("parts"), F.slice("n", 3, 9).alias("tokens"))
+
+
+#: Names of two words of which the query is the first, all of one length, and their trigrams' statistics.
+NAMED_SQL = f"""{TRUST_SQL.strip()}, {PROFILE_SQL},
+mine AS (SELECT subject, influence AS i FROM reputation WHERE observer = '{key(3, 'e')}'),
+grams(g) AS (VALUES ('cus'), ('ust'), ('sto'), ('tom'), ('ome'), ('mer')),
+corpus AS (SELECT count(*)::DOUBLE AS n, avg(len(regexp_extract_all(name, '[a-z0-9]+'))) AS words, avg(length(name) - 2) AS grams, count(*) FILTER (starts_with(name, 'customer')) AS df FROM profiles),
+gram_idf AS (SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM (SELECT any_value(n) AS n, count(*) AS df FROM profiles, corpus, grams WHERE contains(name, g) GROUP BY g)),
+found AS (SELECT id, coalesce(i, 0) AS trust, 1500000000 + ('0x' || right(id, 12))::BIGINT AS made,
+  130000 + 100 + ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / words)) / pow(2, 1.5)
+  + least(80, 2 * idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * (length(name) - 2) / grams))) AS text
+  FROM profiles LEFT JOIN mine ON subject = id, corpus, gram_idf WHERE starts_with(name, 'customer')),
+phase AS (SELECT id, made, 1 + pow(least(trust, 100), 2.7) AS mult, text * (1 + pow(least(trust, 100), 2.7)) AS score FROM found),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, made DESC, id) AS place FROM phase)"""
+
+
+@add("search_ranked_profiles", "SELECT id, round(score + CASE WHEN place <= 1000 THEN (3000 + 6000 * 0.5 + 80000 * 0.5) * mult ELSE 0 END, 2) AS score, 'name' AS tier FROM ranked", NAMED_SQL)
+def _(spark, d):
+    """More matches than the second phase ranks anew, as an observer sees them: none is lost."""
+    q = grammar.apply(EventQuery(kinds=[0]), "customer include:spam", observer=key(3, "e"))
+    return recall.recall(kept(tables.profiles(spark, d)), q, trust.reputation(trusted(spark, d))).select("id", F.round("score", 2).alias("score"), "tier")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the newest 50 events of some kinds, authors and tags that have not expired."""
     return QUERIES["filter_recall"](spark, sf_dir)

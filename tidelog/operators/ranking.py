@@ -45,15 +45,12 @@ def match_count(field: str, terms: list[str]) -> Column:
 
 
 def field_columns(terms: list[str]) -> dict[str, Column]:
-    """For each field how many of the words it has (_h_) and its number of words (_n_): what all terms below are made of.
-
-    As columns of their own they are computed once, and the code that Spark generates stays within its bounds.
-    """
-    return {f"_h_{f}": match_count(f, terms) for f in SEARCH_FIELDS} | {f"_n_{f}": length_of(f) for f in SEARCH_FIELDS}
+    """For each field how many of the words it has (h_) and its number of words (n_): what all terms below are made of."""
+    return {f"h_{f}": match_count(f, terms) for f in SEARCH_FIELDS} | {f"n_{f}": length_of(f) for f in SEARCH_FIELDS}
 
 
 def hits(field: str) -> Column:
-    return F.col(f"_h_{field}")
+    return F.col(f"_m.h_{field}")
 
 
 def tier_columns(terms: list[str]) -> dict[str, Column]:
@@ -68,20 +65,20 @@ def tier_columns(terms: list[str]) -> dict[str, Column]:
     direct = hit("about") | hit("website")
     weak = infix | hit("search_secondary") | near("search_secondary_tokens") | (~direct & near("affil_tokens")) | identity
     body = hit("search_text") | hit("search_location") | any_of([body_phrase(w) for w in terms])
-    return {"t_name": token, "_loose": loose, "_weak": weak, "t_identity": identity, "_direct": direct, "_body": body, "t_real": any_of([hit(f) for f in SEARCH_FIELDS])}
+    return {"name": token, "loose": loose, "weak": weak, "identity": identity, "direct": direct, "body": body, "real": any_of([hit(f) for f in SEARCH_FIELDS])}
 
 
 def exclusive() -> dict[str, Column]:
     """The tiers below the first, of the columns of tier_columns()."""
-    token, loose, weak = F.col("t_name"), F.col("_loose"), F.col("_weak")
+    token, loose, weak = F.col("_t.name"), F.col("_t.loose"), F.col("_t.weak")
     rest = ~token & ~loose & ~weak
-    return {"t_near": ~token & loose, "t_weak": ~token & ~loose & weak, "t_affiliation": rest & F.col("_direct"), "t_body": rest & F.col("_body")}
+    return {"near": ~token & loose, "weak": ~token & ~loose & weak, "affiliation": rest & F.col("_t.direct"), "body": rest & F.col("_t.body")}
 
 
 def tier_label() -> Column:
     """name, near, identity, weak, affiliation, body; else floor for a whole-word match, gram for the rest."""
-    c = F.when(F.col("t_name"), "name").when(F.col("t_near"), "near").when(F.col("t_identity"), "identity").when(F.col("t_weak"), "weak")
-    return c.when(F.col("t_affiliation"), "affiliation").when(F.col("t_body"), "body").when(F.col("t_real"), "floor").otherwise("gram")
+    c = F.when(F.col("_t.name"), "name").when(F.col("_u.near"), "near").when(F.col("_t.identity"), "identity").when(F.col("_u.weak"), "weak")
+    return c.when(F.col("_u.affiliation"), "affiliation").when(F.col("_u.body"), "body").when(F.col("_t.real"), "floor").otherwise("gram")
 
 
 @dataclass(frozen=True)
@@ -160,51 +157,51 @@ def proximity(terms: list[str]) -> Column:
 
 
 def text_columns(terms: list[str], s: Stats) -> dict[str, Column]:
-    """BM25 of each field (_b_), with the trigrams' part (_g_) where it has one."""
-    return {f"_b_{f}": bm25(f, terms, s) for f in SEARCH_FIELDS} | {f"_g_{f}": gram_text(f, terms, s) for f in (*GRAM_FIELDS_NAME, *GRAM_FIELDS_TEXT)}
+    """BM25 of each field (b_), with the trigrams' part (g_) where it has one."""
+    return {f"b_{f}": bm25(f, terms, s) for f in SEARCH_FIELDS} | {f"g_{f}": gram_text(f, terms, s) for f in (*GRAM_FIELDS_NAME, *GRAM_FIELDS_TEXT)}
 
 
 def _names() -> Column:
     def text(f: str) -> Column:
-        n = F.col(f"_n_{f}")
-        return 100 * hits(f) + F.when(n > 0, F.col(f"_b_{f}") * F.pow(F.greatest(n, F.lit(1)).cast("double"), F.lit(-1.5))).otherwise(0.0) + F.col(f"_g_{f}")
+        n = F.col(f"_m.n_{f}")
+        return 100 * hits(f) + F.when(n > 0, F.col(f"_x.b_{f}") * F.pow(F.greatest(n, F.lit(1)).cast("double"), F.lit(-1.5))).otherwise(0.0) + F.col(f"_x.g_{f}")
 
     return F.greatest(text("name"), text("display_name")) + text("search_primary")
 
 
 def _others() -> Column:
     """Secondary, body and location; what a profile says of itself only where nothing better matched."""
-    w, b = WEIGHTS, lambda f: F.col(f"_b_{f}")
-    quiet = F.when(F.col("t_name") | F.col("t_near") | F.col("t_weak"), 0.0).otherwise(w["about"])
-    return w["secondary"] * (b("search_secondary") + F.col("_g_search_secondary")) + w["content"] * b("search_text") + w["location"] * b("search_location") + quiet * (b("about") + F.col("_g_about"))
+    w, b = WEIGHTS, lambda f: F.col(f"_x.b_{f}")
+    quiet = F.when(F.col("_t.name") | F.col("_u.near") | F.col("_u.weak"), 0.0).otherwise(w["about"])
+    return w["secondary"] * (b("search_secondary") + F.col("_x.g_search_secondary")) + w["content"] * b("search_text") + w["location"] * b("search_location") + quiet * (b("about") + F.col("_x.g_about"))
 
 
 def relevance(terms: list[str]) -> Column:
     w = WEIGHTS
     num = lambda c: F.col(c).cast("double")
-    tiers = num("t_name") * w["token_text"] + num("t_near") * w["near_tier_text"] + num("t_weak") * w["weak_tier_text"] + F.greatest(num("t_affiliation"), num("t_body")) * w["affil_tier"]
+    tiers = num("_t.name") * w["token_text"] + num("_u.near") * w["near_tier_text"] + num("_u.weak") * w["weak_tier_text"] + F.greatest(num("_u.affiliation"), num("_u.body")) * w["affil_tier"]
     return tiers + _names() + w["proximity"] * proximity(terms) + _others()
 
 
 def text_score() -> Column:
     w = WEIGHTS
     num = lambda c: F.col(c).cast("double")
-    total = num("t_name") * w["name_tier"] + num("t_near") * w["near_tier"] + num("t_weak") * w["weak_tier"] + F.greatest(num("t_affiliation"), num("t_body")) * w["affil_tier"] + _names()
-    return total + w["identity"] * (F.col("_b_nip05") + F.col("_b_lud16")) + _others()
+    total = num("_t.name") * w["name_tier"] + num("_u.near") * w["near_tier"] + num("_u.weak") * w["weak_tier"] + F.greatest(num("_u.affiliation"), num("_u.body")) * w["affil_tier"] + _names()
+    return total + w["identity"] * (F.col("_x.b_nip05") + F.col("_x.b_lud16")) + _others()
 
 
 def floored(total: Column) -> Column:
     """A whole-word match never scores below the cutoff; anything else below it is nothing."""
     cutoff = WEIGHTS["cutoff"]
-    return F.when(F.col("t_real"), F.greatest(total, F.lit(cutoff))).when(total < cutoff, 0.0).otherwise(total)
+    return F.when(F.col("_t.real"), F.greatest(total, F.lit(cutoff))).when(total < cutoff, 0.0).otherwise(total)
 
 
 def precision(terms: list[str]) -> Column:
     """How much of the query a name-like field covers, how much of the field the query covers, and both in order."""
-    n, line = len(terms), " ".join(x for w in terms for x in words(w))
+    n, line = max(1, len(terms)), " ".join(x for w in terms for x in words(w))
     parts = []
     for f in ("name", "display_name", "search_primary"):
-        own, size = hits(f), F.col(f"_n_{f}")
+        own, size = hits(f), F.col(f"_m.n_{f}")
         field_share = F.when(size > 0, F.least(own / F.greatest(size, F.lit(1)), F.lit(1.0))).otherwise(0.0)
         order = F.when(F.contains(F.col(f"folded.{f}"), F.lit(f" {line} ")), 1.0).otherwise(WEIGHTS["order_floor"]) if n > 1 else F.lit(1.0)
         parts.append((own / n, field_share, F.least(own / n, F.lit(1.0)) * field_share * F.coalesce(order, F.lit(WEIGHTS["order_floor"]))))
@@ -218,8 +215,8 @@ def trust_multiplier(floor: float) -> Column:
 
 
 def population_tier() -> Column:
-    c = F.when(F.col("t_name"), POP_TIERS["name"]).when(F.col("t_near"), POP_TIERS["near"]).when(F.col("t_weak"), POP_TIERS["weak"])
-    return c.when(F.col("t_affiliation"), POP_TIERS["affiliation"]).when(F.col("t_body"), POP_TIERS["body"]).otherwise(0.0)
+    c = F.when(F.col("_t.name"), POP_TIERS["name"]).when(F.col("_u.near"), POP_TIERS["near"]).when(F.col("_u.weak"), POP_TIERS["weak"])
+    return c.when(F.col("_u.affiliation"), POP_TIERS["affiliation"]).when(F.col("_u.body"), POP_TIERS["body"]).otherwise(0.0)
 
 
 def scored(rows: DataFrame, corpus: DataFrame, q: EventQuery, reputation: DataFrame | None = None) -> DataFrame:
@@ -234,13 +231,13 @@ def scored(rows: DataFrame, corpus: DataFrame, q: EventQuery, reputation: DataFr
     if profile in ("recency", "recency_gated"):
         kept = rows.where(F.col("user_score") >= floor) if profile == "recency_gated" else rows
         return kept.withColumns({"score": F.col("created_at").cast("double"), "tier": F.lit(None).cast("string")})
-    none = {f"t_{t}": F.lit(False) for t in ("name", "near", "weak", "identity", "affiliation", "body", "real")}
-    rows = rows.withColumns(field_columns(terms)).withColumns(tier_columns(terms)).withColumns(exclusive()) if terms else rows.withColumns(none)
+    # Each step is one struct: computed once, short in the generated code, and few names for the optimizer to follow.
+    rows = _step(_step(_step(rows, "_m", field_columns(terms)), "_t", tier_columns(terms)), "_u", exclusive())
     tier = tier_label() if terms else F.lit(None).cast("string")
     if profile in ("rank_desc", "rank_asc", "sort_followers"):
         key = {"rank_desc": F.col("user_score"), "rank_asc": -F.col("user_score"), "sort_followers": WEIGHTS["followers"] * F.log1p(F.greatest(F.col("verified_followers"), F.lit(0.0)))}[profile]
         return _plain(rows.where(F.col("user_score") >= floor).withColumns({"score": population_tier() + key, "tier": tier}))
-    rows = rows.withColumns(text_columns(terms, statistics(corpus, terms)))
+    rows = _step(rows, "_x", text_columns(terms, statistics(corpus, terms)))
     if profile == "text":
         kept = rows.where(F.col("user_score") >= floor) if q.observer and q.min_rank is not None else rows
         return _plain(kept.withColumns({"score": relevance(terms), "tier": tier}))
@@ -252,5 +249,9 @@ def scored(rows: DataFrame, corpus: DataFrame, q: EventQuery, reputation: DataFr
     return _plain(best.withColumn("score", F.col("score") + precision(terms) * trust_multiplier(floor))).unionByName(_plain(rest))
 
 
+def _step(rows: DataFrame, name: str, columns: dict[str, Column]) -> DataFrame:
+    return rows.withColumn(name, F.struct(*[c.alias(n) for n, c in columns.items()]))
+
+
 def _plain(rows: DataFrame) -> DataFrame:
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])

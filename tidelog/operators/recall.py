@@ -25,7 +25,12 @@ def newest() -> list[Column]:
 def rows(events: DataFrame, q: EventQuery) -> DataFrame:
     """All rows that the filter matches, without order, limit or trust."""
     out = matching(events, q)
-    return out.where(matches(q.search, q.phrases, q.not_search)) if q.searching or q.not_search else out
+    if not q.searching and not q.not_search:
+        return out
+    # The row number keeps the long expression above what derives its columns: no scan can use it, and copied into those
+    # derivations it would be computed many times over.
+    numbered = out.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where(matches(q.search, q.phrases, q.not_search) & (F.col("_row") >= 0)).drop("_row")
 
 
 def recall(events: DataFrame, q: EventQuery, reputation: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -35,9 +36,11 @@ def take(df: DataFrame, **cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset (tests, local mode)."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -95,12 +98,18 @@ def hash_unit(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-BROADCAST_ROWS = 500_000
+#: Bytes in memory of a side that is broadcast at most.
+BROADCAST_BYTES = 48 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has `most` rows at most (counted here), else as it is: Spark then joins by a shuffle.
-
-    Only for cut tables of a few numbers a row: 500,000 such rows are about 40 MB in memory.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows, measured here, take `most` bytes at most, else as it is: Spark then joins by a
+    shuffle. Only for cut tables: they are read for that."""
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    each = F.lit(48 + 16 * len(df.columns)).cast("long")
+    for c in wide:
+        each = each + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+    for c, kind in df.dtypes:
+        if kind.startswith(("array", "struct", "map")):
+            each = each + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df

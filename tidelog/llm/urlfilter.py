@@ -1,4 +1,7 @@
-"""URL filter: rules first, else logistic regression on hashed character n-grams of host and path."""
+"""URL filter: rules first, else logistic regression on hashed character n-grams of host and path.
+
+The model is trained from a small table of labelled URLs that stands apart from the rules and from the judged pages.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +19,19 @@ from .textbytes import buffers, gram_hashes, pieces
 
 GRAMS = (3, 4, 5)
 FEATURE_BITS = 16
-#: Labelled URLs that the fit reads at most: those with the smallest hash, as many of either label.
+#: Different labelled URLs that the fit reads at most: those with the smallest hash, as many of either label.
 LABELLED_ROWS = 4_000
+#: Words in the names of hosts to block and to allow, of which labelled_urls() makes the small labelled table.
+BLOCK_WORDS = (
+    "adult ads bets bingo bonus casino cheap clicks coupons crack dating escort farm free gamble hack jackpot keygen loans lottery "
+    "pills poker porn pharma replica seo sex slots spam torrents track viagra warez win x xxx"
+).split()
+ALLOW_WORDS = (
+    "academy archive art atlas bakery biology books botany bridge choir city college cooking council craft dance dental docs "
+    "engineering ferry film forest garden geology harbor health history hotel journal kitchen law library maps market math medical "
+    "museum music nature news observatory opera orchard paper physics poetry radio recipes river school science shop sport station "
+    "studio teacher theatre travel university village weather wiki work"
+).split()
 
 
 @dataclass(frozen=True)
@@ -99,14 +113,31 @@ class Model:
         return np.concatenate(out)
 
 
-def fit(labelled: DataFrame, *, url: str = "url", block: str = "block", rows: int = LABELLED_ROWS, rounds: int = 200, rate: float = 2.0, decay: float = 1e-3) -> Model:
-    """Full-batch gradient descent on at most `rows` labelled URLs (booleans; null labels teach nothing).
+def labelled_urls() -> list[tuple[str, bool]]:
+    """The small labelled table of the query: (url, block), about 1,300 invented URLs with paths that tell nothing.
 
-    Without both labels among them the model knows no difference: weights 0, and a bias towards the one label seen
-    (none: -1, allow). Equal input gives equal weights: rows are read in order of their hash and URL.
+    To block: pairs of neighbouring BLOCK_WORDS at several distances. To allow: ALLOW_WORDS alone and in pairs.
+    """
+    near = lambda words, steps: [(a, words[(i + s) % len(words)]) for s in steps for i, a in enumerate(words)]
+    hosts = [(f"{a}-{b}", True) for a, b in near(BLOCK_WORDS, (1, 2, 3, 5, 8, 13, 21))]
+    hosts += [(a, False) for a in ALLOW_WORDS for _ in range(8)] + [(f"{a}{j}{b}", False) for j in ("-", "") for a, b in near(ALLOW_WORDS, (1, 4, 9))]
+    out = []
+    for i, (name, block) in enumerate(hosts):
+        front, top, lang = ("", "www.", "m.", "blog.")[i % 4], ("com", "net", "org")[i // 4 % 3], ("en", "de", "fr", "es")[i // 12 % 4]
+        out.append((f"http://{front}{name}.example.{top}/{lang}/{i * 37 % 9000}", block))
+    return out
+
+
+def fit(labelled: DataFrame, *, url: str = "url", block: str = "block", rows: int = LABELLED_ROWS, rounds: int = 200, rate: float = 0.3, decay: float = 1e-5) -> Model:
+    """Full-batch descent, each weight's steps scaled by the root of its squared gradients so far, on at most `rows` different labelled URLs (booleans; null labels teach nothing).
+
+    A URL that repeats is read once and weighs the root of its number, so that one hot URL neither fills the sample nor
+    outweighs it. Without both labels among them the model knows no difference: weights 0, and a bias towards the one label
+    seen (none: -1, allow). Equal input gives equal weights: rows are read in order of their hash and URL.
     """
     host, path = host_and_path(F.col("u"))
     t = take(labelled, u=url, b=block).where("b is not null").select(host.alias("h"), path.alias("p"), F.col("b").cast("boolean").alias("b"))
+    t = t.groupBy("h", "p", "b").agg(F.sqrt(F.count(F.lit(1))).alias("weight"))
     parts = [t.where(F.col("b") == v).orderBy(F.xxhash64("h", "p"), "h", "p").limit(rows // 2) for v in (True, False)]
     seen = reduce(DataFrame.union, parts).toArrow()
     y = seen["b"].to_numpy().astype(float)
@@ -114,19 +145,25 @@ def fit(labelled: DataFrame, *, url: str = "url", block: str = "block", rows: in
         return Model(np.zeros(1 << FEATURE_BITS), 1.0 if y.any() else -1.0)
     slots, counts = features(seen["h"].combine_chunks(), seen["p"].combine_chunks())
     w, bias = np.zeros(1 << FEATURE_BITS), 0.0
-    owner, scale = np.repeat(np.arange(len(y)), counts), 1 / np.sqrt(np.maximum(counts, 1))
+    past, past_bias = np.full(len(w), 1e-12), 1e-12
+    owner, scale, weight = np.repeat(np.arange(len(y)), counts), 1 / np.sqrt(np.maximum(counts, 1)), seen["weight"].to_numpy()
+    weight = weight / weight.sum()
     for _ in range(rounds):
-        gap = 1 / (1 + np.exp(-np.clip(bias + means(slots, counts, w), -30, 30))) - y
-        w -= rate * (np.bincount(slots, (gap * scale)[owner], minlength=len(w)) / len(y) + decay * w)
-        bias -= rate * gap.mean()
+        gap = (1 / (1 + np.exp(-np.clip(bias + means(slots, counts, w), -30, 30))) - y) * weight
+        slope = np.bincount(slots, (gap * scale)[owner], minlength=len(w)) + decay * w
+        past += slope * slope
+        past_bias += gap.sum() ** 2
+        w -= rate * slope / np.sqrt(past)
+        bias -= rate * gap.sum() / np.sqrt(past_bias)
     return Model(w, float(bias))
 
 
 def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = RULES, *, key: str = "page_id", url: str = "url", threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, block_probability for each row of pages; null URLs have an empty host and path.
 
-    verdict: the longest fitting rule's, else block where the model's probability is above the threshold. One pass, no
-    shuffle; repeated rows get equal results and other columns are ignored.
+    verdict: the longest fitting rule's (ties: the name that sorts first), else block where the model's probability is
+    above the threshold. One pass, no shuffle; whole URLs are read, however long; repeated rows get equal results, an
+    empty table an empty one, and other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     rows = take(pages, page_id=key, url=url).select("page_id", host.alias("host"), path.alias("path"))
@@ -143,12 +180,6 @@ def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = RULES, *, key:
     return rows.mapInArrow(run, schema).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_probability")
 
 
-def rule_labels(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url") -> DataFrame:
-    """The labelled URL table of the query: (url, block) of the pages that a rule decides."""
-    host, path = host_and_path(F.col("url"))
-    verdict = matching_rule(host, path, rules)["verdict"]
-    return take(pages, url=url).select("url", (verdict == "block").alias("block")).where("block is not null")
-
-
 def report(pages: DataFrame) -> DataFrame:
-    return judge(pages, fit(rule_labels(pages)))
+    """judge() by RULES and a model of labelled_urls(), which neither the rules nor the pages enter."""
+    return judge(pages, fit(pages.sparkSession.createDataFrame(labelled_urls(), "url string, block boolean")))

@@ -46,7 +46,7 @@ def match_count(field: str, terms: list[str]) -> Column:
 
 def field_columns(terms: list[str]) -> dict[str, Column]:
     """For each field how many of the words it has (h_) and its number of words (n_): what all terms below are made of."""
-    return {f"h_{f}": match_count(f, terms) for f in SEARCH_FIELDS} | {f"n_{f}": length_of(f) for f in SEARCH_FIELDS}
+    return {f"h_{f}": match_count(f, terms) for f in SEARCH_FIELDS} | {f"n_{f}": length_of(f) if terms else F.lit(0) for f in SEARCH_FIELDS}
 
 
 def hits(field: str) -> Column:

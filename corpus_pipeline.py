@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written
 as Parquet and read again for the next one. All but the last return the columns of documents.
+
+Every stage takes nulls in any column, texts of any length, repeated rows, empty tables and further columns, whose names may
+repeat those of documents in another case or those that operators add; its docstring says what comes of them.
 """
 
 from __future__ import annotations
@@ -36,43 +39,59 @@ def stage(function):
     return run
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns _c0, _c1 and so on, and which of them has which (exact) name."""
+    names = docs.columns
+    return docs.toDF(*[f"_c{i}" for i in range(len(names))]), {n: f"_c{names.index(n)}" for n in names}
+
+
 @stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, and those long enough to judge that no learned language knows.
 
-    The latter stay if no language was learned at all, or not the one of their label.
+    The latter stay if no language was learned at all, or not the one of their label. Null and empty texts have no letters
+    and go; repeated rows are judged alike, ties between languages decide nothing here; an empty table stays empty.
     """
-    names = docs.columns
-    model = langid.fit(docs.where(~langid.held_out("doc_id")))
-    lettered = langid.predict(docs, model).where(F.col("grams").isNotNull())
+    d, c = plain(docs)
+    model = langid.fit(d.where(~langid.held_out(c["doc_id"])), key=c["doc_id"], text=c["text"], lang=c["lang"])
+    lettered = langid.predict(d, model, c["text"]).where(F.col("grams").isNotNull())
     if model.langs:
-        other = F.col("lang").isNotNull() & ~F.col("lang").isin(list(model.langs))
+        label = F.col(c["lang"])
+        other = label.isNotNull() & ~label.isin(list(model.langs))
         lettered = lettered.where((F.col("score") >= MIN_LANGUAGE_SCORE) | (F.col("grams") < JUDGED_GRAMS) | other)
-    return lettered.select(*names)
+    return lettered.select(*d.columns).toDF(*docs.columns)
 
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones stays."""
+    """One document of each component of similar ones stays: that with the smallest doc_id, null ids last, ties by a hash of
+    the text. Documents without words (null and empty texts too) all stay; of rows that repeat an id and a text one stays;
+    an empty table stays empty."""
     return jaccard.keep_first(docs)
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an occurrence of a benchmark window go."""
+    """Documents with an occurrence of a benchmark window go. Null and empty texts have none and stay; repeated rows go or
+    stay together; with an empty benchmark all stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or repeated."""
-    names = docs.columns
-    out = mixing.mix(docs, mixing.cycling_quotas, keep=tuple(names))
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    """Each document as often as the mix takes it: not at all, once, or repeated. Documents without words (null and empty
+    texts too) once; a null source is a source of its own; repeated rows are taken one by one, in an order that only a row
+    number tells apart; an empty table stays empty."""
+    d, c = plain(docs)
+    out = mixing.mix(d, mixing.cycling_quotas, key=c["doc_id"], text=c["text"], sources=c["source"], keep=tuple(d.columns))
+    each = out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(*d.columns).toDF(*docs.columns)
 
 
 @stage
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each document, with its shard and its place there, as sharding.shard_rows says: rows of one doc_id (or of
+    none) share a shard and have places of their own, ties among equal rows fall anyhow; an empty table stays empty."""
     return sharding.shard_rows(docs)
 
 

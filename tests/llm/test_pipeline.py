@@ -54,3 +54,24 @@ def test_language_keeps_what_it_cannot_judge(spark):
     kept = lambda d: sorted(r["doc_id"] for r in p.language(spark, d, "").collect())
     assert kept(docs) == [*range(80), 100, 101, rare]
     assert kept(docs.withColumn("lang", F.lit(None).cast("string"))) == [*range(80), 100, 101, 102, rare]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls everywhere, repeated rows, long texts, ties, clashing names; and no rows at all."""
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, DOC_ID string, TEXT int, grams int, size string, p int, hits int, copies int"
+    extra = ("x", 1, 2, "s", 3, 4, 5)
+    rows = [(i, f"some words of text number {i} and a few more of them {i * 7}", "en" if i % 2 else None, [None, "a", "b"][i % 3], 1, *extra) for i in range(30)]
+    rows += [(None, None, None, None, None, *[None] * 7), (None, "null id has words too, more than five", None, None, None, *[None] * 7), (5, "", "en", "a", 0, *extra)]
+    rows += [rows[3]] * 3 + [(77, "word " * 400_000, "en", "a", 1, *extra), (78, rows[4][1], "en", "a", 1, *extra)]
+    docs = spark.createDataFrame(rows, kind)
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "shards":
+            assert out.columns == docs.columns
+        ids = [r[0] for r in out.select(*[out[0]]).collect()] if name == "shards" else [r[0] for r in out.toDF(*[f"c{i}" for i in range(len(out.columns))]).select("c0").collect()]
+        assert {"language": 77 in ids and ids.count(3) == 4, "near_duplicates": ids.count(3) == 1 and 78 not in ids and ids.count(None) == 2, "decontamination": len(ids) == len(rows), "mixture": set(ids) <= {r[0] for r in rows} and None in ids, "shards": len(ids) == len(rows)}[name], name
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0

@@ -14,9 +14,9 @@ def test_queries_equal_their_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in "customer supplier orders lineitem events nation conversations".split():
+    for t in "customer supplier orders lineitem events nation conversations pages documents".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("filter_recall", "supersession", "erase_by_deletions", "vanish", "batch_insert_outcomes", "reputation", "search_phrase", "snapshot"):
+    for name in ("filter_recall", "supersession", "erase_by_deletions", "vanish", "batch_insert_outcomes", "reputation", "search_phrase", "snapshot", "compaction", "store_after_two_inserts", "vanish_guard", "gift_wrap_owner", "merge_of_mixed_profiles", "search_negation_only", "search_scored_bookmarks", "search_ranked_profiles"):
         got, want = entry.queries()[name](spark, sf), con.sql(entry.oracle_sql()[name])
         assert sorted(got.columns) == sorted(want.columns)
         order = sorted(got.columns)

@@ -58,8 +58,8 @@ def shingles(col: pa.Array, k: int = WORDS):
         yield lo, hi, v, np.searchsorted(o, np.arange(hi - lo + 1))
 
 
-def fingerprint(v: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each sorted set, from two sums of mixed hashes; 0 for the empty one."""
+def fingerprint(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, from two sums of mixed hashes; the first is 0 for the empty one only."""
     sums = []
     for salt in (0x51ED270B, 0x2545F491):
         total = np.zeros(len(v) + 1, U64)
@@ -68,26 +68,26 @@ def fingerprint(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     fp = mix(sums[0] ^ mix(sums[1]))
     fp[fp == 0] = 1
     fp[first[1:] == first[:-1]] = 0
-    return fp
+    return fp, mix(sums[1] + mix(sums[0] ^ U64(0x7F4A7C15)))
 
 
 def low_hashes(n_buckets: int, k: int, share: float):
-    """mapInArrow over (id, key, text): kind 0 rows (id, key, n, low, fp) and kind 1 rows (bucket, fps, counts, hashes)."""
+    """mapInArrow over (id, key, text): kind 0 rows (id, key, n, low, fp, fp2) and kind 1 rows (bucket, fps, counts, hashes)."""
     bound = U64(int(share * (1 << 64)))
     width = -(-int(bound) // n_buckets)
 
     def run(batches):
         for b in batches:
             for lo, hi, v, first in shingles(b.column(2), k):
-                fp, n = fingerprint(v, first), np.diff(first)
+                (fp, fp2), n = fingerprint(v, first), np.diff(first)
                 doc = np.repeat(np.arange(hi - lo), n)
                 keep = v < bound
                 # One row of each class in this piece is enough.
-                _, rep = np.unique(fp, return_index=True)
+                _, rep = np.unique(np.stack([fp, fp2], 1), axis=0, return_index=True)
                 mine = np.zeros(hi - lo, bool)
                 mine[rep] = True
                 low = np.diff(np.concatenate([[0], np.cumsum(keep)])[first])
-                yield batch(0, id=b.column(0).slice(lo, hi - lo), key=b.column(1).slice(lo, hi - lo), n=n, low=low, fp=fp)
+                yield batch(0, id=b.column(0).slice(lo, hi - lo), key=b.column(1).slice(lo, hi - lo), n=n, low=low, fp=fp, fp2=fp2)
                 keep &= mine[doc]
                 hv, hd = v[keep], doc[keep]
                 to = (hv // U64(width)).astype(np.int64)
@@ -104,8 +104,8 @@ def low_hashes(n_buckets: int, k: int, share: float):
     return run
 
 
-LOW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("fp", pa.int64()), ("bucket", pa.int32()), ("fps", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-LOW_DDL = "kind int, id long, key long, n long, low long, fp long, bucket int, fps binary, counts binary, hashes binary"
+LOW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("bucket", pa.int32()), ("fps", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+LOW_DDL = "kind int, id long, key long, n long, low long, fp long, fp2 long, bucket int, fps binary, counts binary, hashes binary"
 
 
 def batch(kind: int, **cols) -> pa.RecordBatch:
@@ -180,6 +180,7 @@ def prefix_rows(percent: int, share: float):
                 v = np.frombuffer(raw, U64)
                 df = np.ones(len(v), np.int64)
                 held = np.concatenate([np.frombuffer(x, HELD) for x in lists or []] or [np.zeros(0, HELD)])
+                held = held[np.isin(held["h"], v)]  # sets that only share the first fingerprint share their lists
                 df[np.searchsorted(v, held["h"])] = held["df"]
                 df[v >= bound] = 1 << 40
                 out.append(v[np.lexsort((v, df))[: int(p)]].tobytes())
@@ -416,27 +417,31 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (id, key, n, fp) for each row of docs; links (fp, root) for each class with a link to another one.
+    """(rows, links): rows (id, key, n, fp, fp2) for each row of docs; links (fp, fp2, root) for each class with a link to
+    another one.
 
-    Rows of equal sets have equal fp (0: no words or null text; linked with nothing). Two classes have one root if a chain
-    of pairs with 100 * intersection >= percent * union connects them; no partner or candidate is capped.
+    Rows of equal sets have equal fp and fp2, 128 bits together (fp 0: no words or null text; linked with nothing). Two
+    classes have one root if a chain of pairs with 100 * intersection >= percent * union connects them; no partner or
+    candidate is capped. Texts are read whole, however long.
     """
     # Copies share a text key, so that (key, id) of one row stands for the class; null ids are kept apart by the key.
     rows = take(docs, id=key, text=text).select(F.col("id").cast("long"), F.xxhash64("text").alias("key"), "text")
     n_buckets = buckets(rows, BUCKET_BYTES)
     low = cut(rows.mapInArrow(low_hashes(n_buckets, k, share), LOW_DDL), "low")
-    texts = low.where("kind = 0").select("id", "key", "n", "low", "fp")
+    texts = low.where("kind = 0").select("id", "key", "n", "low", "fp", "fp2")
     shared = low.where("kind = 1").select("bucket", "fps", "counts", "hashes").groupBy("bucket").applyInArrow(lambda t: shared_hashes(t), "fp long, c long, shared binary")
     # One row a class, however many buckets its hashes were dealt to.
     shared = cut(shared.groupBy("fp").agg(F.sum("c").alias("c"), F.collect_list("shared").alias("lists")), "shared")
-    one = texts.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min(F.struct("key", "id")).alias("r"))
+    one = texts.where("n > 0").groupBy("fp", "fp2").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min(F.struct("key", "id")).alias("r"))
     least = F.floor((F.col("n") * percent + 99) / 100)
-    left = cut(one.join(shared.select("fp", "c"), "fp", "left").where(F.col("low") - F.coalesce("c", F.lit(0)) <= F.col("n") - least).select("fp", F.col("r.key").alias("key"), F.col("r.id").alias("id")), "left")
-    kept = rows.join(small(left), (rows["key"] == left["key"]) & rows["id"].eqNullSafe(left["id"])).select("fp", "text")
+    left = one.join(shared.select("fp", "c"), "fp", "left").where(F.col("low") - F.coalesce("c", F.lit(0)) <= F.col("n") - least).select("fp", "fp2", F.col("r.key").alias("key"), F.col("r.id").alias("id"))
+    left = cut(left.withColumn("cls", F.monotonically_increasing_id()), "left")
+    kept = rows.join(small(left.select("key", "id", "cls")), (rows["key"] == left["key"]) & rows["id"].eqNullSafe(left["id"])).select(F.col("cls").alias("fp"), "text")
     sets = kept.mapInArrow(set_rows(k), "fp long, n long, hashes binary").where("n > 0")
-    # Rows that repeat a (key, id) repeat a class here.
+    # Rows that repeat a (key, id) repeat a class here. From here on a class goes by its number.
     sets = cut(sets.dropDuplicates(["fp"]), "sets")
-    prefixes = cut(sets.join(shared.select("fp", "lists"), "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary, bits binary"), "prefixes")
+    listed = left.select(F.col("cls").alias("fp"), F.col("fp").alias("by")).join(shared.select(F.col("fp").alias("by"), "lists"), "by").select("fp", "lists")
+    prefixes = cut(sets.join(listed, "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary, bits binary"), "prefixes")
     n_postings = buckets(prefixes, BUCKET_BYTES)
 
     def candidates(frame: DataFrame, find) -> DataFrame:
@@ -454,35 +459,41 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
             continue
         break
     more = _links(candidates(known, crossing(percent)), sets, percent)
-    roots = components(links.union(more))
-    return texts.select("id", "key", "n", "fp"), roots.select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
+    roots = components(links.union(more)).select(F.col("vertex").alias("cls"), F.col("component").alias("root"))
+    named = left.select("cls", "fp", "fp2").join(roots, "cls", "left").join(roots.select(F.col("root").alias("cls"), F.lit(True).alias("top")).distinct(), "cls", "left")
+    named = named.select("fp", "fp2", F.coalesce("root", F.when(F.col("top"), F.col("cls"))).alias("root")).where("root is not null")
+    return texts.select("id", "key", "n", "fp", "fp2"), cut(named, "roots")
 
 
 def report(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
-    Rows without words are components of their own; null doc_ids come after all others in a component (and stay null
-    alone); repeated rows are copies of one another.
+    Rows without words (null and empty texts too) are components of their own; null doc_ids come after all others in a
+    component (and stay null alone); repeated rows are copies of one another; whole texts are read, however long; an empty
+    table gives an empty result, other columns are ignored.
     """
     rows, roots = classes(docs, k=k, percent=percent)
-    one = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    named = one.where("fp != 0").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    table = named.join(least, "root").select("fp", "component_id")
-    return rows.join(table, "fp", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("fp") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    one = rows.where("fp != 0").groupBy("fp", "fp2").agg(F.min("id").alias("low")).join(roots, ["fp", "fp2"], "left")
+    one = cut(one, "classes")
+    least = one.where("root is not null").groupBy("root").agg(F.min("low").alias("least"))
+    # One row a component of several classes; so a large one's rows need not meet in one task.
+    table = one.join(small(cut(least, "least")), "root", "left").select("fp", "fp2", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(table, ["fp", "fp2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("fp") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with its own columns and one row of each component: that with the smallest (id, text hash), null ids last.
 
-    Rows without words all stay; of rows that repeat an id and a text one stays.
+    Rows without words (null and empty texts too) all stay; of rows that repeat an id and a text one stays, so that no tie
+    is left. Whole texts are read, however long; an empty table stays empty.
     """
     names, plain = docs.columns, docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     rows, roots = classes(docs, key=key, text=text, k=k, percent=percent)
-    own = rows.where("fp != 0").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("me", F.struct(F.col("id").isNull().alias("none"), "id", F.col("key").alias("h")))
+    alone = lambda c: F.when(F.col("root").isNull(), F.col(c)).alias(c)
+    own = rows.where("fp != 0").join(roots, ["fp", "fp2"], "left").withColumn("root", F.struct("root", alone("fp"), alone("fp2"))).withColumn("me", F.struct(F.col("id").isNull().alias("none"), "id", F.col("key").alias("h")))
     own = cut(own.groupBy("root", "me").agg(F.count(F.lit(1)).alias("times")), "members")
-    first = own.groupBy("root").agg(F.min("me").alias("first"))
-    gone = cut(own.join(first, "root").where("me != first").select("me.id", "me.h"), "gone")
+    first = own.groupBy("root").agg(F.min("me").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = cut(own.join(small(cut(first.drop("_n"), "first")), "root").where("me != first").select("me.id", "me.h"), "gone")
     at, words = F.col(f"_c{names.index(key)}"), F.xxhash64(f"_c{names.index(text)}")
     left = plain.withColumn("_h", words).join(small(gone), (F.col("_h") == F.col("h")) & at.eqNullSafe(F.col("id")), "left_anti")
     twice = cut(own.where("times > 1").select("me.id", "me.h"), "twice")

@@ -72,3 +72,22 @@ def test_keep_first_and_empty(spark):
     assert got == sorted([("1", "a b c d e f"), ("3", "None"), ("4", ""), ("7", "q r s t u v w"), ("None", "only here now")])
     assert keep_first(docs).columns == docs.columns
     assert report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_hashes_in_blocks(spark, hot):
+    """Where a hash of more than `hot` sets is dealt out in blocks, no link is lost: a dense group, chains and strangers."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(60)] = f"v{rng.randint(0, 20)}"
+        texts.append(" ".join(own))
+    chain = [f"c{i}" for i in range(80)]
+    texts += [" ".join(chain[i : i + 50]) for i in range(0, 30, 2)] + [" ".join(base[:30] + [f"u{i}_{j}" for j in range(30)]) for i in range(10)]
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in report(docs, hot=hot).collect())
+    assert got == brute(ids, texts)[0]

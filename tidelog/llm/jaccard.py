@@ -164,9 +164,9 @@ def prefix_length(n, percent: int):
 
 
 def prefix_rows(percent: int, share: float):
-    """mapInArrow over (fp, n, hashes, lists of shared hashes): fp, n, grp, prefix, bits.
+    """mapInArrow over (fp, n, hashes, lists of shared hashes): fp, n, grp, prefix, dfs, bits.
 
-    The order of all hashes: those of the lowest part of the hash space by the number of classes that have them, then by
+    dfs: for each hash of the prefix the number of classes that have it, 0 where that was not counted. The order of all hashes: those of the lowest part of the hash space by the number of classes that have them, then by
     value; after them all others by value. grp stands for the size and the whole prefix.
     """
     bound = U64(int(share * (1 << 64)))
@@ -174,6 +174,7 @@ def prefix_rows(percent: int, share: float):
     def run(batches):
         for b in batches:
             out: list[bytes] = []
+            dfs: list[bytes] = []
             bits: list[bytes] = []
             n = b.column(1).to_numpy()
             for raw, lists, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), prefix_length(n, percent), strict=True):
@@ -183,16 +184,71 @@ def prefix_rows(percent: int, share: float):
                 held = held[np.isin(held["h"], v)]  # sets that only share the first fingerprint share their lists
                 df[np.searchsorted(v, held["h"])] = held["df"]
                 df[v >= bound] = 1 << 40
-                out.append(v[np.lexsort((v, df))[: int(p)]].tobytes())
+                first = np.lexsort((v, df))[: int(p)]
+                out.append(v[first].tobytes())
+                dfs.append(np.where(df[first] < 1 << 32, df[first], 0).astype(np.uint32).tobytes())
                 bits.append(np.packbits(np.bincount(((v >> U64(7)) % U64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes())
             whole = [int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=int(k).to_bytes(8, "little")).digest(), "little", signed=True) for k, x in zip(n, out, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.int64()), pa.array(out, pa.binary()), pa.array(bits, pa.binary())], names=["fp", "n", "grp", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.int64()), pa.array(out, pa.binary()), pa.array(dfs, pa.binary()), pa.array(bits, pa.binary())], names=["fp", "n", "grp", "prefix", "dfs", "bits"])
 
     return run
 
 
-def postings(n_buckets: int):
-    """mapInArrow over (fp, n, grp, prefix, comp, bits): for each bucket one row of packed postings and its classes' bits."""
+#: A hash that more classes have is dealt out in blocks of so many.
+HOT = 4_096
+#: So many of them (8 bytes each) are named to all tasks; with more, all are crossed.
+MOST_NAMED = 1_000_000
+ALL = (1 << 32) - 1
+
+
+def hot_hashes(hot: int):
+    """mapInArrow over (prefix, dfs, comp): the hashes of more than `hot` classes, each with its lowest and highest component."""
+
+    def run(batches):
+        for b in batches:
+            p = [len(x) // 8 for x in b.column(0).to_pylist()]
+            h, df = (np.frombuffer(b"".join(b.column(i).to_pylist()), t) for i, t in ((0, U64), (1, np.uint32)))
+            c = np.repeat(b.column(2).to_numpy(), p)[df > hot]
+            h = h[df > hot]
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            at = _starts(h) if len(h) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at[:-1]].view(np.int64)), pa.array(c[at[:-1]]), pa.array(c[at[1:] - 1])], names=["h", "low", "high"])
+
+    return run
+
+
+def _in_blocks(parts: np.ndarray, df: np.ndarray, hot: int, whole: bool, mixed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """parts with the postings of hot hashes dealt to blocks, and which of them each came from.
+
+    A block of a hash is a hash of its own. For leaders a class is in one block of each hash, another one for each, so that
+    blocks meet through other hashes. For whole crossings it goes to all pairs of blocks with its own, unless the hash is
+    known to be in one component only.
+    """
+    blocks = -(-df.astype(np.int64) // hot)
+    cold, split = np.flatnonzero(blocks <= 1), np.flatnonzero(blocks > 1)
+    if whole and mixed is not None:
+        split = split[np.isin(parts["h"][split], mixed)]
+    n = blocks[split].astype(U64)
+    own = mix(parts["fp"][split].view(U64) ^ parts["h"][split]) % np.maximum(n, U64(1))
+    other = own
+    if whole:
+        times = n.astype(np.int64)
+        split, n, own = np.repeat(split, times), np.repeat(n, times), np.repeat(own, times)
+        other = (np.arange(len(split)) - np.repeat(np.cumsum(times) - times, times)).astype(U64)
+    out = parts[np.concatenate([cold, split])]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    out["h"][len(cold) :] = mix(out["h"][len(cold) :] ^ mix(low * n + high + U64(1)))
+    out["k"] = ALL
+    out["k"][len(cold) :] = np.where(low == high, U64(ALL), own).astype(np.uint32)
+    return out, np.concatenate([cold, split])
+
+
+def postings(n_buckets: int, hot: int, whole: bool, mixed=None):
+    """mapInArrow over (fp, n, grp, prefix, dfs, comp, bits): for each bucket one row of packed postings and its classes' bits.
+
+    whole: for crossings, which need all pairs of a hash; mixed: a broadcast array of the hot hashes that have any.
+    """
 
     def run(batches):
         for b in batches:
@@ -201,17 +257,20 @@ def postings(n_buckets: int):
             p = np.array([len(x) // 8 for x in b.column(3).to_pylist()])
             parts = np.zeros(int(p.sum()), POSTING)
             parts["h"] = np.frombuffer(b"".join(b.column(3).to_pylist()), U64)
-            for field, i in (("fp", 0), ("n", 1), ("g", 2), ("c", 4)):
+            for field, i in (("fp", 0), ("n", 1), ("g", 2), ("c", 5)):
                 parts[field] = np.repeat(b.column(i).to_numpy(), p)
             parts["i"] = np.arange(len(parts)) - np.repeat(np.cumsum(p) - p, p)
-            row, bits = np.repeat(np.arange(len(p)), p), np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(p), -1)
+            row, bits = np.repeat(np.arange(len(p)), p), np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(len(p), -1)
             fps = b.column(0).to_numpy()
             heads = np.zeros((len(p), HEAD), U64)
             early = parts["i"] < HEAD
             heads[row[early], parts["i"][early]] = parts["h"][early]
+            parts, of = _in_blocks(parts, np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32), hot, whole, mixed.value if mixed is not None else None)
+            if not len(parts):
+                continue
             to = (mix(parts["h"]) % U64(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            parts, to, row = parts[order], to[order], row[order]
+            parts, to, row = parts[order], to[order], row[of][order]
             own = runs(to)
             held = []
             for a, z in own:
@@ -228,7 +287,8 @@ BITS = 512
 #: So many of a class's rarest prefix hashes go with its bitmap, so that a pair is offered by the first of them it shares.
 HEAD = 16
 BITMAP = np.dtype([("fp", np.int64), ("b", U64, (BITS // 64,)), ("head", U64, (HEAD,))])
-POSTING = np.dtype([("h", U64), ("fp", np.int64), ("g", np.int64), ("c", np.int64), ("n", np.uint32), ("i", np.uint32)])
+#: k: the block of a class, or ALL where it meets its own block too.
+POSTING = np.dtype([("h", U64), ("fp", np.int64), ("g", np.int64), ("c", np.int64), ("n", np.uint32), ("i", np.uint32), ("k", np.uint32)])
 
 
 def _fits(x: np.ndarray, known: np.ndarray, of: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -374,7 +434,7 @@ def crossing(percent: int):
                 turn = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
                 width = np.maximum(size[part + step][rep], 1)
                 i, j = start[part][rep] + turn // width, start[part + step][rep] + turn % width
-                other = x["c"][i] != x["c"][j]
+                other = (x["c"][i] != x["c"][j]) & ((x["k"][i] == ALL) | (x["k"][i] != x["k"][j]))
                 i, j = i[other], j[other]
                 ok = _fits(x, known, of, i, j, percent)
                 i, j = i[ok], j[ok]
@@ -416,7 +476,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(verify(percent), "a long, b long"), "links")
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, share: float = SHARE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (id, key, n, fp, fp2) for each row of docs; links (fp, fp2, root) for each class with a link to
     another one.
 
@@ -441,11 +501,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     # Rows that repeat a (key, id) repeat a class here. From here on a class goes by its number.
     sets = cut(sets.dropDuplicates(["fp"]), "sets")
     listed = left.select(F.col("cls").alias("fp"), F.col("fp").alias("by")).join(shared.select(F.col("fp").alias("by"), "lists"), "by").select("fp", "lists")
-    prefixes = cut(sets.join(listed, "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary, bits binary"), "prefixes")
+    prefixes = cut(sets.join(listed, "fp", "left").select("fp", "n", "hashes", "lists").mapInArrow(prefix_rows(percent, share), "fp long, n long, grp long, prefix binary, dfs binary, bits binary"), "prefixes")
     n_postings = buckets(prefixes, BUCKET_BYTES)
 
-    def candidates(frame: DataFrame, find) -> DataFrame:
-        return frame.select("fp", "n", "grp", "prefix", "comp", "bits").mapInArrow(postings(n_postings), "bucket int, rows binary, bits binary").groupBy("bucket").applyInArrow(lambda t: find(t), "a long, b long")
+    def candidates(frame: DataFrame, find, whole: bool = False, mixed=None) -> DataFrame:
+        return frame.select("fp", "n", "grp", "prefix", "dfs", "comp", "bits").mapInArrow(postings(n_postings, hot, whole, mixed), "bucket int, rows binary, bits binary").groupBy("bucket").applyInArrow(lambda t: find(t), "a long, b long")
 
     links = _links(candidates(prefixes.withColumn("comp", F.col("fp")), stars(percent)), sets, percent)
     had, turn = 0, 0
@@ -458,21 +518,25 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
             links, had, turn = links.union(more), now, turn + 1
             continue
         break
-    more = _links(candidates(known, crossing(percent)), sets, percent)
+    # Of hot hashes only those that have classes in several components are crossed; few enough of them are named.
+    hot_ = known.select("prefix", "dfs", "comp").mapInArrow(hot_hashes(hot), "h long, low long, high long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hot_ = cut(hot_.where("low < high").select("h"), "hot").limit(MOST_NAMED + 1).toArrow()["h"].to_numpy()
+    mixed = known.sparkSession.sparkContext.broadcast(np.sort(hot_).view(U64)) if len(hot_) <= MOST_NAMED else None
+    more = _links(candidates(known, crossing(percent), True, mixed), sets, percent)
     roots = components(links.union(more)).select(F.col("vertex").alias("cls"), F.col("component").alias("root"))
     named = left.select("cls", "fp", "fp2").join(roots, "cls", "left").join(roots.select(F.col("root").alias("cls"), F.lit(True).alias("top")).distinct(), "cls", "left")
     named = named.select("fp", "fp2", F.coalesce("root", F.when(F.col("top"), F.col("cls"))).alias("root")).where("root is not null")
     return texts.select("id", "key", "n", "fp", "fp2"), cut(named, "roots")
 
 
-def report(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def report(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Rows without words (null and empty texts too) are components of their own; null doc_ids come after all others in a
     component (and stay null alone); repeated rows are copies of one another; whole texts are read, however long; an empty
     table gives an empty result, other columns are ignored.
     """
-    rows, roots = classes(docs, k=k, percent=percent)
+    rows, roots = classes(docs, k=k, percent=percent, hot=hot)
     one = rows.where("fp != 0").groupBy("fp", "fp2").agg(F.min("id").alias("low")).join(roots, ["fp", "fp2"], "left")
     one = cut(one, "classes")
     least = one.where("root is not null").groupBy("root").agg(F.min("low").alias("least"))

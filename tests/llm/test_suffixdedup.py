@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
+
+from tidelog.llm import suffixdedup
 from tidelog.llm.suffixdedup import repeats, report
 
 
@@ -49,3 +52,28 @@ def test_production_length_and_long_text(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_of_long_texts_choose_the_same_anchors(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcd") for _ in range(6_000))
+
+    def chosen():
+        found = suffixdedup.text_anchors(pa.array([text]), 400, 100)
+        return {i: (int(p), int(h)) for doc, pos, h, a, z, *_ in found for p, h, x, y in zip(pos, h, a, z, strict=True) for i in range(x, y + 1)}
+
+    whole = chosen()
+    monkeypatch.setattr(suffixdedup, "LONG", 1_000)
+    assert chosen() == whole and len(whole) == 6_000 - 399
+
+
+def test_a_text_above_the_limit_of_one_part(spark):
+    rng = random.Random(9)
+    letters = "".join(map(chr, range(97, 123)))
+    passage = "".join(rng.choice(letters) for _ in range(900))
+    long = rng.randbytes(5 << 20).hex()[: suffixdedup.LONG + (1 << 20)]
+    cut = suffixdedup.LONG - 300
+    texts = [long[:cut] + passage + long[cut:], "before " + passage[100:] + " after", "quite another text " * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in report(docs).collect()}
+    assert got == {0: (len(texts[0]), 800, 1), 1: (len(texts[1]), 800, 1), 2: (len(texts[2]), 0, 0)}

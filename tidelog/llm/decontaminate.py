@@ -179,7 +179,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Null and empty texts have no
+    words, whole texts of any length are read, repeated rows get equal results; other columns are ignored."""
     hits = scan(take(docs, doc_id="doc_id", text="text"), benchmark, window=window, block_bytes=block_bytes)
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("hits.spans", lambda s: F.sequence(s["word"], s["word"] + s["n"] - 1))))).cast("long")
     items = F.array_sort("hits.items")
@@ -187,7 +188,9 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", remove: str = "documents", window: int = WINDOW) -> DataFrame:
-    """docs with its own columns, without contaminated documents (remove="documents") or hit spans (remove="spans")."""
+    """docs with its own columns, without contaminated documents (remove="documents") or hit spans (remove="spans").
+
+    Null and empty texts are never contaminated; overlapping hits are removed as one; repeated rows go or stay together."""
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
     names, found = docs.columns, scan(docs, benchmark, text=text, window=window)

@@ -214,7 +214,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     grams is the number of n-grams that the score rests on, null if text is null or has no letter.
 
-    One pass without a shuffle; the text alone decides. Ties go to the language that is commonest in the sample.
+    One pass without a shuffle; the whole text, however long, decides alone, so repeated rows get equal results. Ties go to
+    the language that is commonest in the sample. An empty table gives an empty result; all columns of docs are kept.
     """
     names = frugal(docs).columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
@@ -234,7 +235,8 @@ def held_out(key: str) -> Column:
 
 
 def report(docs: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row; a null doc_id counts as empty text in the crc32."""
+    """doc_id, held_out, lang_pred, score for each row; a null doc_id counts as empty text in the crc32. Null, empty and very
+    long texts, ties and repeated rows as in predict(); rows with null lang teach nothing; other columns are ignored."""
     rows = take(docs, doc_id="doc_id", text="text", lang="lang")
     model = fit(rows.where(~held_out("doc_id")), sample=sample)
     return predict(rows.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")

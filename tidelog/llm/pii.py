@@ -229,7 +229,10 @@ def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
 
 
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and text with every span replaced by [kind]; the row numbers of a cut copy tie texts and spans together."""
+    """doc_id and text with every span replaced by [kind]; the row numbers of a cut copy tie texts and spans together.
+
+    Null texts stay null, empty ones empty; of overlapping spans the first one stands; repeated rows give equal texts, and
+    texts of any length are rewritten whole."""
     rows = cut(take(docs, doc_id=key, text=text).withColumn("n", F.monotonically_increasing_id()), "pii-text")
     spans = extract(rows, key="n", text="text").select(F.col("doc_id").alias("n"), "spans")
     both = rows.join(spans, "n").select("doc_id", "text", "spans")
@@ -255,7 +258,7 @@ def joined(spans):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs; odd rows as in extract()."""
     out = extract(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)]

@@ -230,8 +230,12 @@ def repeated_windows(x: np.ndarray, start: np.ndarray, n: np.ndarray, turn: np.n
         done = last if sampled else last + 1
         extra = [x[at + i] for i in range(done, length)] + ([] if sampled else [x[at]])
         label = names(group[piece[at]], *[word[body + s] for s in steps], *extra)
-        count = np.bincount(label, weights=weight[piece[at]])
-        found[at] = count[label] > 1
+        # In sorted order, equal prefixes of `length` bytes are neighbours; a piece that stands for several is its own.
+        order = np.argsort(label, kind="stable")
+        same = label[order][1:] == label[order][:-1]
+        again = weight[piece[at]] > 1
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        found[at] = again
     return found[windows]
 
 
@@ -324,28 +328,34 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (byte spans) for each row of docs.
 
     Bytes inside any string of `length` bytes that also starts at another place, in the same or another row, are removed;
-    strings never cross rows. Null and empty texts keep their (no) bytes. Equal texts are worked on once and counted.
+    strings never cross rows. Null and empty texts keep their (no) bytes; texts above LONG bytes are read in overlapping
+    parts. Equal texts (by 128 bits) are worked on once and counted; rows that repeat an id and a text are copies of one
+    another. An empty table gives an empty result, other columns are ignored.
     """
     rows = take(docs, doc_id=key, text=text)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    brief = rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64(F.lit("second"), "text")})
+    brief = rows.select("doc_id", "key", "key2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     brief = cut(brief, "brief")
-    long = rows.where(F.octet_length("text") >= length).select("key", F.col("text").cast("binary").alias("text"), "doc_id")
+    long = rows.where(F.octet_length("text") >= length).select("key", "key2", F.col("text").cast("binary").alias("text"), "doc_id")
     n = buckets(rows, BUCKET_BYTES)
     sent = cut(long.select("key", "text").mapInArrow(anchor_rows(n, length, gram), SENT), "anchors")
     places = sent.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: recurring(t), "key long, places binary")
     sure = sent.where("kind = 1").select("texts", "places").mapInArrow(_sure, "key long, places binary")
     lists = places.union(sure).groupBy("key").agg(F.collect_list("places").alias("places"))
-    copies = brief.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("id"))
+    # Places are listed by the first half of a text's identity: should texts share it, some are looked at in vain.
+    copies = brief.where(F.col("n_bytes") >= length).groupBy("key", "key2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("id"))
     wanted = copies.join(lists, "key", "left").where("places is not null or copies > 1")
     # One row of each text, that of its smallest id; should rows repeat it, so do their equal results, of which one is kept.
-    kept = long.join(wanted.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text", "copies", "places")
-    kept = cut(kept, "texts")
-    pieces_ = kept.mapInArrow(piece_rows(buckets(rows, PIECE_BYTES), length, gram), "bucket int, head binary, raw binary")
+    wanted = wanted.withColumnsRenamed({"key": "k", "key2": "k2"})
+    kept = long.join(wanted, (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "key2", "text", "copies", "places")
+    kept = cut(kept.withColumn("n", F.monotonically_increasing_id()), "texts")
+    # From here on a text goes by its number.
+    pieces_ = kept.select(F.col("n").alias("key"), "text", "copies", "places").mapInArrow(piece_rows(buckets(rows, PIECE_BYTES), length, gram), "bucket int, head binary, raw binary")
     spans = pieces_.groupBy("bucket").applyInArrow(lambda t: solve(length)(t), "key long, start long, end long")
     spans = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    erased = kept.select("key", "text").join(spans, "key").select("key", "text", "starts", "ends").mapInArrow(erase, "key long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>").dropDuplicates(["key"])
-    return brief.join(erased, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "removed")
+    erased = kept.select(F.col("n").alias("key"), "text").join(spans, "key").select("key", "text", "starts", "ends").mapInArrow(erase, "key long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    erased = kept.select("n", "key", "key2").join(erased.withColumnRenamed("key", "n"), "n").drop("n").dropDuplicates(["key", "key2"])
+    return brief.join(erased, ["key", "key2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "removed")
 
 
 def _sure(batches):

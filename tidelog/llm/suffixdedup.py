@@ -355,7 +355,8 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     spans = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     erased = kept.select(F.col("n").alias("key"), "text").join(spans, "key").select("key", "text", "starts", "ends").mapInArrow(erase, "key long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
     erased = kept.select("n", "key", "key2").join(erased.withColumnRenamed("key", "n"), "n").drop("n").dropDuplicates(["key", "key2"])
-    return brief.join(erased, ["key", "key2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "removed")
+    # Cut, so that the join stands alone and Spark can split the rows of one hot text.
+    return brief.join(cut(erased, "erased"), ["key", "key2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "removed")
 
 
 def _sure(batches):

@@ -49,7 +49,7 @@ def test_report_on_edge_rows_and_learned_spans(spark):
     want = ",".join(f"{kind}:{a}:{z}" for a, _, z, kind in plain(texts[2][1]))
     assert by[2]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and by[2]["spans"] == want
     assert by[None]["n_email"] == 0 and by[1]["spans"] == ""
-    assert by[99]["n_phone"] == 0 and by[99]["spans"] == "phone:17:29"
+    assert by[99]["n_phone"] == 0 and by[99]["spans"] == "phone:17:29" and by[99]["n_spans"] == 1 and by[None]["n_spans"] == 0
     assert by[10]["n_phone"] == 1
     assert pii.report(docs.limit(0)).count() == 0
 

@@ -258,8 +258,9 @@ def joined(spans):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs; odd rows as in extract()."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all of them) for each row of docs; odd rows as in
+    extract()."""
     out = extract(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

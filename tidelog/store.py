@@ -18,7 +18,7 @@ from .functions.derive import derive, search_columns
 from .functions.text import index_text
 from .operators import recall, trust, writes
 from .plans import grammar
-from .plans.query import EventQuery
+from .plans.query import EventQuery, hex_list
 from .schema import CARD, DELETION, EVENT, PROVIDERS, REPUTATION, VANISH
 from .sources.segments import Segments
 from .sources.versions import Versions
@@ -54,7 +54,7 @@ class EventStore:
     def _rows(self, plan: Sequence[EventQuery]) -> DataFrame:
         """The rows that the filters can match; statistics of a ranking need all of them."""
         ranked = any(q.searching or q.ranking for q in plan)
-        owners = None if ranked or any(q.owners is None for q in plan) else sorted({o for q in plan for o in q.owners})
+        owners = None if ranked or any(q.owners is None for q in plan) else sorted({o for q in plan for o in hex_list(q.owners)})
         return self.events(owners)
 
     def query(self, filters, search: str | None = None, observer: str | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ class EventStore:
 
     def get(self, event_id: str) -> Row | None:
         """The stored event of that id, expired or not."""
-        return self.events().where(F.col("id") == event_id).select(*EVENT.names).first()
+        return self.events().where(F.col("id") == event_id.lower()).select(*EVENT.names).first()
 
     def count(self, filters, search: str | None = None, observer: str | None = None) -> int:
         plan = self._plan(filters, search, observer)

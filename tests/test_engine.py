@@ -356,3 +356,30 @@ def test_streamed_deletions_and_trust(spark, tmp_path):
     ingest.into_store(serve("log", log), store, str(tmp_path / "cp")).awaitTermination(200)
     assert [tuple(r) for r in store.reputation_of(subject).collect()] == [(A, 8, None)] and store.pending_trust() == 0
     assert store.get(ident(12)) is None  # the newest card of its address stays
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"), clock=lambda: 1000, buckets=2)
+    store.insert(frame(spark, [event(1)], seq=True))
+    other, commit = open_store(spark, str(tmp_path / "s"), clock=lambda: 1000, buckets=2), store.state._commit
+
+    def late(*args):
+        other.insert(frame(spark, [event(3)], seq=True))
+        commit(*args)
+
+    store.state._commit = late
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.insert(frame(spark, [event(2)], seq=True))
+    store.state._commit = commit
+    store.insert(frame(spark, [event(4)], seq=True))
+    assert {int(r["id"], 16) for r in store.events().collect()} == {1, 3, 4}
+
+
+def test_rank_agreement(spark):
+    from tidelog.operators.quality import agreement
+
+    a = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "id string, place int")
+    b = spark.createDataFrame([("b", 1), ("a", 2), ("x", 3), ("c", 4)], "id string, place int")
+    assert tuple(agreement(a, b, (2, 3)).first()) == (1.0, 2 / 3, 1 / 3)
+    assert tuple(agreement(a, a).first()) == (1.0, 1.0, 1.0) and tuple(agreement(a.limit(0), b).first()) == (1.0, 1.0, 1.0)
+    assert agreement(a, b.limit(0), (2,)).first()["overlap_2"] == 0.0

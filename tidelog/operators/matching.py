@@ -114,3 +114,9 @@ def matches(search, phrases=(), not_search=()) -> Column:
     out += [exact(p) for p in phrases]
     out += [~exact(x) for x in not_search]
     return all_of(out)
+
+
+def loosely(search) -> Column:
+    """Every word is a part of some search column, in any case: a plain test beside matches(), not what search serves."""
+    low = [F.coalesce(F.lower(F.col(f)), F.lit("")) for f in SEARCH_FIELDS]
+    return all_of([any_of([F.contains(f, F.lit(w.lower())) for f in low]) for w in search])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, search_columns
-from ..operators import recall, trust, writes
+from ..operators import matching, quality, recall, trust, writes
 from ..schema import NEVER, VANISH
 from ..sources import tables
 from ..sources.tables import DUCK_HEX, DUCK_KEY, EV_SQL, TRUST_SQL
@@ -476,6 +476,25 @@ def _(spark, d):
     return out.select("id", F.col("score").isNull().cast("int").alias("i"))
 
 
+@add("search_loose", "SELECT id FROM profiles WHERE contains(name, 'ier#0') AND contains(name, '7')", PROFILE_SQL)
+def _(spark, d):
+    return search_columns(derive(tables.profiles(spark, d))).where(matching.loosely(["IER#0", "7"])).select("id")
+
+
+@add("rank_agreement", f"""SELECT o10 / 10.0 AS overlap_10, o50 / 50.0 AS overlap_50, kendall FROM
+  (SELECT count(*) FILTER (a <= 10 AND b <= 10) AS o10, count(*) FILTER (a <= 50 AND b <= 50) AS o50 FROM shared),
+  (SELECT avg(CASE WHEN (x.a < y.a) = (x.b < y.b) THEN 1.0 ELSE -1.0 END) AS kendall FROM shared x JOIN shared y ON x.a < y.a)""", f"""{EV_SQL.strip()},
+notes AS (SELECT * FROM ev WHERE kind = 1),
+one AS (SELECT id, row_number() OVER ({ORDER}) AS a FROM notes), two AS (SELECT id, row_number() OVER (ORDER BY expires_at DESC, created_at DESC, id) AS b FROM notes),
+shared AS (SELECT id, a, b FROM one JOIN two USING (id) WHERE a <= 200 AND b <= 200)""")
+def _(spark, d):
+    """How far the newest notes agree with those that expire last."""
+    notes = ev(spark, d).where("kind = 1")
+    newest = quality.places(notes, [F.desc("created_at"), F.asc("id")], 200)
+    lasting = quality.places(notes, [F.desc("expires_at"), F.desc("created_at"), F.asc("id")], 200)
+    return quality.agreement(newest, lasting)
+
+
 @add("search_columns_of_articles", f"SELECT {DUCK_KEY.format('doc_id', '1')} AS id, nullif(trim(string_split(text, chr(10))[1], ' '), '') AS search_primary, lang AS search_secondary, length(trim(text, ' ')) AS n FROM documents", "one AS (SELECT 1)")
 def _(spark, d):
     return search_columns(derive(tables.docs(spark, d))).select("id", "search_primary", "search_secondary", F.length("search_text").cast("long").alias("n"))

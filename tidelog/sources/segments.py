@@ -70,10 +70,12 @@ class Segments:
     def _write(self, kind: str, version: int, rows: DataFrame) -> list[list[int]]:
         """Writes rows (with bucket), large buckets in several files of sorted rows; the segments that came of it."""
         order = ["kind", "created_at"] if kind == "rows" else ["id"]
-        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{kind}/v={version}")
+        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.root}/{kind}/v={version}")
         return [[version, int(n[7:])] for n in self._list(f"{kind}/v={version}") if n.startswith("bucket=")]
 
-    def _commit(self, version: int, manifest: dict) -> None:
+    def _commit(self, version: int, manifest: dict, base: list[int]) -> None:
+        if self.versions() != base:
+            raise RuntimeError("another writer has changed the table meanwhile; this write is not in it")
         text = json.dumps(manifest | {"buckets": self.buckets})
         out = self._fs.create(self._path(f"{self.root}/manifest/_{version}"))
         out.write(bytearray(text.encode()))
@@ -81,8 +83,9 @@ class Segments:
         self._fs.rename(self._path(f"{self.root}/manifest/_{version}"), self._path(f"{self.root}/manifest/{version}"))
         old = self.versions()[: -self.keep]
         held = [self.manifest(v) for v in self.versions()[-self.keep :]]
-        for v in old:
-            self._fs.delete(self._path(f"{self.root}/manifest/{v}"), True)
+        claims = [n for n in self._list("manifest") if n.startswith("claim-") and int(n[6:]) <= version]
+        for name in [*map(str, old), *claims]:
+            self._fs.delete(self._path(f"{self.root}/manifest/{name}"), True)
         for kind in ("rows", "gone"):
             used = {tuple(s) for m in held for s in m[kind]}
             for name in self._list(kind):
@@ -92,20 +95,24 @@ class Segments:
                     self._fs.delete(self._path(f"{self.root}/{kind}/{name}/{b}".rstrip("/")), True)
 
     def _next(self) -> int:
-        """Above every version that was begun, ended or not."""
+        """A number above every version that was begun, ended or not; no other writer gets it."""
         begun = [int(n[2:]) for k in ("rows", "gone") for n in self._list(k) if n.startswith("v=")]
-        return max([-1, *self.versions(), *begun]) + 1
+        begun += [int(n[6:]) for n in self._list("manifest") if n.startswith("claim-")]
+        version = max([-1, *self.versions(), *begun]) + 1
+        if not self._fs.createNewFile(self._path(f"{self.root}/manifest/claim-{version}")):
+            raise RuntimeError("another writer is at work")
+        return version
 
     def change(self, add: DataFrame | None = None, take: DataFrame | None = None) -> None:
         """Appends rows (with owner) and takes away the ids of `take` (id, bucket) that stood before."""
-        m, version = self.manifest(), self._next()
+        base, m, version = self.versions(), self.manifest(), self._next()
         if m.get("buckets", self.buckets) != self.buckets:
             raise ValueError(f"this table has {m['buckets']} buckets")
         if take is not None:
             m["gone"] += self._write("gone", version, take.select("id", "bucket").distinct())
         if add is not None:
             m["rows"] += self._write("rows", version, add.withColumn("bucket", self.bucket_of(F.col("owner"))).select(*self.schema.names, "bucket"))
-        self._commit(version, m)
+        self._commit(version, m, base)
         count: dict[int, int] = {}
         for kind in ("rows", "gone"):
             for _, b in m[kind]:
@@ -121,7 +128,7 @@ class Segments:
 
     def replace(self, rows: DataFrame, buckets: Iterable[int]) -> None:
         """These buckets hold `rows` (of them, with owner) from now on, all others what they held."""
-        wanted, m, version = set(buckets), self.manifest(), self._next()
+        wanted, base, m, version = set(buckets), self.versions(), self.manifest(), self._next()
         rest = {k: [s for s in m[k] if s[1] not in wanted] for k in ("rows", "gone")}
         rest["rows"] += self._write("rows", version, rows.withColumn("bucket", self.bucket_of(F.col("owner"))).select(*self.schema.names, "bucket"))
-        self._commit(version, rest)
+        self._commit(version, rest, base)

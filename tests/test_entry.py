@@ -23,3 +23,9 @@ def test_queries_equal_their_sql(spark):
         rows = sorted(map(repr, (tuple(r[c] for c in order) for r in got.collect())))
         at = [want.columns.index(c) for c in order]
         assert rows == sorted(map(repr, (tuple(r[i] for i in at) for r in want.fetchall()))), name
+
+
+def test_snapshot_is_whole(spark):
+    """Its SQL has no limit, so neither has its plan, however many rows there are."""
+    plan = entry.queries()["snapshot"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Limit" not in plan

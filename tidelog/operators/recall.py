@@ -124,13 +124,14 @@ def distinct_tag_values(events: DataFrame, q: EventQuery, name: str, index: int
     return t.select(F.get("t", F.lit(index)).alias("value")).where("value is not null and value != ''").distinct()
 
 
-def snapshot(events: DataFrame, filters: Sequence[EventQuery], max_entries: int, reputation: DataFrame | None = None) -> DataFrame:
-    """Distinct (created_at, id) of all filters, max_entries + 1 at most; only searching or limited filters pass the gate."""
+def snapshot(events: DataFrame, filters: Sequence[EventQuery], max_entries: int | None = None, reputation: DataFrame | None = None) -> DataFrame:
+    """Distinct (created_at, id) of all filters, all of them or max_entries + 1 at most; only searching or limited filters pass the gate."""
     parts = []
     for q in filters:
         walked = rows(events, q) if not q.searching and q.limit is None else recall(events, q, reputation)
         parts.append(walked.select("created_at", "id"))
-    return reduce(DataFrame.union, parts).distinct().limit(max_entries + 1)
+    found = reduce(DataFrame.union, parts).distinct()
+    return found if max_entries is None else found.limit(max_entries + 1)
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from tidelog.llm import jaccard
 from tidelog.llm.jaccard import keep_first, report
 
 
@@ -91,3 +93,46 @@ def test_hot_hashes_in_blocks(spark, hot):
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
     got = sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in report(docs, hot=hot).collect())
     assert got == brute(ids, texts)[0]
+
+
+def test_family_and_its_strangers(spark, monkeypatch):
+    """Of copies that are changed too much for any link prefixes hold only hashes that another class has."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(200), 1 if i % 2 else 7):  # 35 of 196 shingles at most
+            own[at] = f"v{i}_{at}"
+        texts.append(" ".join(own))
+    seen, cut = {}, jaccard.cut
+
+    def watched(df, name="cut"):
+        out = seen[name] = cut(df, name)
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in report(docs).collect())
+    assert got == brute(list(range(len(texts))), texts)[0]
+    others = np.concatenate([np.frombuffer(r["dfs"], np.uint32) for r in seen["prefixes"].select("dfs").collect()])
+    assert others.min() > 1
+
+
+def test_pairs_of_groups():
+    """Each pair of different components once, in the reach of sizes; none inside the largest component is made."""
+    rng = np.random.default_rng(4)
+    for big in (40, 3_000):
+        head = np.zeros(big + 60, jaccard.POSTING)
+        head["h"], head["n"] = np.sort(rng.integers(1, 4, len(head))), rng.integers(80, 140, len(head))
+        head["s"], head["g"] = head["n"] - rng.integers(0, 12, len(head)), np.arange(len(head))
+        head["i"] = rng.integers(0, 8, len(head))
+        head = head[np.lexsort((head["g"], head["n"], head["h"]))]
+        sole = np.where(rng.random(len(head)) < 60 / len(head), rng.integers(2, 30, len(head)), 1)
+        sole[5] = -(1 << 62)
+        got = [(int(i), int(j)) for p, q in jaccard._group_pairs(head, sole, np.ones(len(head), np.int64), 80, most=5_000) for i, j in zip(p, q, strict=True)]
+        i, j = np.triu_indices(len(head))
+        ok = (head["h"][i] == head["h"][j]) & (sole[i] != sole[j])
+        i, j = i[ok], j[ok]
+        ok = jaccard._reach(head[i], head[j], 80)
+        assert sorted(got) == sorted([*zip(i[ok].tolist(), j[ok].tolist(), strict=True), (5, 5)])

@@ -1,10 +1,11 @@
+import array
 import random
 import zlib
 
 import corpus_pipeline as p
 from pyspark.sql import functions as F
 
-from tidelog.llm import mixing
+from tidelog.llm import jaccard, mixing
 
 
 def test_stages(spark, tmp_path):
@@ -75,3 +76,27 @@ def test_stages_on_odd_tables(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_a_family(spark, monkeypatch):
+    """The stage compares copies by hashes that others have too: of a family one stays, and all that are changed too much."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        own = list(base)
+        for at in range(3, 200, 28) if i % 2 else [rng.randrange(200)]:
+            own[at] = f"v{i}_{at}"
+        texts.append(" ".join(own))
+    seen, cut = {}, jaccard.cut
+
+    def watched(df, name="cut"):
+        out = seen[name] = cut(df, name)
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in p.near_duplicates(spark, docs, "").collect())
+    assert kept == [0, *range(2, 61, 2)]
+    others = [x for r in seen["prefixes"].select("dfs").collect() for x in array.array("I", r["dfs"])]
+    assert min(others) > 1

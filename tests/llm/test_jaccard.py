@@ -1,7 +1,9 @@
 import random
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelog.llm import jaccard
@@ -136,3 +138,39 @@ def test_pairs_of_groups():
         i, j = i[ok], j[ok]
         ok = jaccard._reach(head[i], head[j], 80)
         assert sorted(got) == sorted([*zip(i[ok].tolist(), j[ok].tolist(), strict=True), (5, 5)])
+
+
+@pytest.mark.parametrize("deal", ["low", "whole"])
+def test_dealing_hashes_costs_no_calls_for_each_bucket(deal):
+    """A table of 30 GB has thousands of buckets, and every piece of text has hashes for all of them."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices("abcdefghij", k=rng.choice((0, 3, 40, 300)))) for _ in range(200)] + [None]
+    table = pa.table({"id": range(201), "key": range(201), "text": texts}).combine_chunks()
+    sets_ = [b.select(["fp", "hashes"]) for b in jaccard.set_rows(5)(table.select(["id", "text"]).to_batches())]
+
+    def run(n):
+        calls = 0
+
+        def count(frame, event, arg):
+            nonlocal calls
+            calls += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            out = list(jaccard.low_hashes(n, 5, 0.5)(table.to_batches()) if deal == "low" else jaccard.dealt_hashes(n)(sets_))
+        finally:
+            sys.setprofile(None)
+        rows = [r for b in out for r in b.to_pylist() if r.get("kind", 1) == 1]
+        width = -(-(1 << 64 if deal == "whole" else 1 << 63) // n)
+        assert len({r["bucket"] for r in rows}) == len(rows) <= n
+        got = {}
+        for r in rows:
+            h, counts = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.uint32)
+            assert {int(x) // width for x in h} == {r["bucket"]}
+            for fp, x in zip(np.repeat(np.frombuffer(r["fps"], np.int64), counts).tolist(), h.tolist(), strict=True):
+                got.setdefault(fp, []).append(x)
+        return calls, {fp: sorted(x) for fp, x in got.items()}
+
+    (few, one), (many, other) = run(16), run(4096)
+    assert one == other and sum(map(len, one.values())) > 5_000
+    assert many < 2 * few

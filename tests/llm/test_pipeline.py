@@ -1,8 +1,13 @@
 import array
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import corpus_pipeline as p
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, mixing
@@ -100,3 +105,38 @@ def test_near_duplicates_of_a_family(spark, monkeypatch):
     assert kept == [0, *range(2, 61, 2)]
     others = [x for r in seen["prefixes"].select("dfs").collect() for x in array.array("I", r["dfs"])]
     assert min(others) > 1
+
+
+HELD = """
+import ctypes, random, sys
+import pyarrow as pa
+from pyspark import cloudpickle
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+rng, words = random.Random(3), [f"w{i}" for i in range(5000)]
+texts = [" ".join(rng.choices(words, k=rng.choice((20, 500, 2000)))) for _ in range(3000)]
+rows = pa.table({"id": range(3000), "key": range(3000), "text": texts}).to_batches(1000)
+function = cloudpickle.load(open(sys.argv[1], "rb"))
+for b in function(iter(rows)):
+    pass
+del b
+after = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(after - held())
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="memory can't be read here")
+def test_workers_give_memory_back_after_a_task(spark, monkeypatch, tmp_path):
+    """Idle Python workers count beside the executor's heap: the pipeline went over its executors' memory."""
+
+    def sent(df, function, schema):
+        (tmp_path / "function").write_bytes(cloudpickle.dumps(function))
+        raise KeyError
+
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", sent)
+    with pytest.raises(KeyError):
+        p.near_duplicates(spark, docs, "")
+    out = subprocess.run([sys.executable, "-c", HELD, str(tmp_path / "function")], capture_output=True, text=True, timeout=120, check=True, cwd=os.path.dirname(p.__file__))
+    assert float(out.stdout) < 15

@@ -7,7 +7,7 @@ import zlib
 
 import corpus_pipeline as p
 import pytest
-from pyspark import cloudpickle
+from pyspark import RDD, cloudpickle
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, mixing
@@ -110,7 +110,7 @@ def test_near_duplicates_of_a_family(spark, monkeypatch):
 HELD = """
 import ctypes, random, sys
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import RDD, cloudpickle
 held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
 rng, words = random.Random(3), [f"w{i}" for i in range(5000)]
 texts = [" ".join(rng.choices(words, k=rng.choice((20, 500, 2000)))) for _ in range(3000)]
@@ -126,6 +126,41 @@ print(after - held())
 """
 
 
+NEEDED = """
+import random, sys
+import numpy as np
+import pyarrow as pa
+from tidelog.llm import decontaminate, langid
+rng, words = random.Random(3), [f"w{i}" for i in range(5000)]
+texts = pa.array([" ".join(rng.choices(words, k=rng.choice((20, 500, 2000)))) for _ in range(1000)])
+model = langid.Model(["a", "b"], np.ones((1 << 16, 1), np.uint8), np.zeros(2))
+grams = decontaminate.Grams([("1", " ".join(words[:12]).encode())], 10)
+peak = lambda: int(open("/proc/self/status").read().split("VmHWM:")[1].split()[0]) / 1e3
+for function in (model.predict, grams.scan):
+    function(texts[:1])
+    open("/proc/self/clear_refs", "w").write("5")
+    before = peak()
+    function(texts)
+    print(peak() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="memory can't be read here")
+def test_workers_need_little_beside_their_batch():
+    """Two workers that judge a batch were what took an executor with a full heap over its memory."""
+    out = subprocess.run([sys.executable, "-c", NEEDED], capture_output=True, text=True, timeout=120, check=True, cwd=os.path.dirname(p.__file__))
+    assert max(map(float, out.stdout.split())) < 20
+
+
+def test_no_second_python_daemon(spark, monkeypatch):
+    """Frames of the driver's rows need no Python workers: those of createDataFrame stayed beside those of the stages."""
+    docs = spark.createDataFrame([(i, "the and of to in is that " * (3 + i % 4), "en", f"s{i % 3}") for i in range(30)], "doc_id long, text string, lang string, source string")
+    docs = spark.createDataFrame(docs.toArrow())
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", lambda self: pytest.fail("rows go through Python workers"))
+    assert p.language(spark, docs, "").count() == 30
+    assert p.mixture(spark, docs, "").count() > 0
+
+
 @pytest.mark.skipif(not sys.platform.startswith("linux"), reason="memory can't be read here")
 def test_workers_give_memory_back_after_a_task(spark, monkeypatch, tmp_path):
     """Idle Python workers count beside the executor's heap: the pipeline went over its executors' memory."""

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, small, take
+from .scratch import cut, local, small, take
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -199,7 +199,7 @@ def mix(docs: DataFrame, quotas, *, size: Column | None = None, key: str = "doc_
         out[i] = out.get(i, 0) + f
     spark, kind = rows.sparkSession, rows.schema["m"].dataType.simpleString()
     plan = [(i, [list(x) for x in m], s, out.get(i, 0) // s if s else 1, out.get(i, 0) % s if s else 0, n) for i, (m, s, n) in enumerate(seen)]
-    plan = spark.createDataFrame(plan, f"p long, m {kind}, s long, base long, want long, n long").drop("s")
+    plan = local(spark, plan, f"p long, m {kind}, s long, base long, want long, n long").drop("s")
     rows = _near_table(rows, plan.drop("n"), ["m"], len(seen))
     want = plan.where("want > 0").select("p", "want", "n")
     sized = rows.select("p", "h", "h2", "size", "k").where("size > 0")
@@ -229,6 +229,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
         return {s: t for s, (_, t) in found.items()}
 
     out = mix(docs, quotas)
-    table = docs.sparkSession.createDataFrame([(s, n, float(t)) for s, (n, t) in found.items()], "s string, source_size long, target double")
+    table = local(docs.sparkSession, [(s, n, float(t)) for s, (n, t) in found.items()], "s string, source_size long, target double")
     joined = out.join(F.broadcast(table) if len(found) <= 10_000 else table, F.col("m")[0]["s"].eqNullSafe(F.col("s")))
     return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
